@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterlake.llm import bpe, linededup, quality
+from raterlake.llm import bpe, decontam, licenses, linededup, quality, secrets, urlfilter
 
 #: The tokenizer's vocabulary; the folder is a setting.
 VOCABULARY = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
@@ -33,10 +33,37 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), VOCABULARY, keep=["doc_id"], with_ids=False)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, license, start, end, containment: each template that a document holds."""
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, start, end, distance: each benchmark item that a document holds."""
+    return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Fixed rules of op9.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
+    "op5_secret_scan": op5_secret_scan,
+    "op8_license_scan": op8_license_scan,
+    "op9_url_filter": op9_url_filter,
+    "op10_decontamination": op10_decontamination,
 }
 
 _LINES = """
@@ -76,7 +103,7 @@ FROM documents d LEFT JOIN counts USING (doc_id) LEFT JOIN removed USING (doc_id
 """,
     "op3_quality_rules": f"""
 WITH {_LINES},
-w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), x -> x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS ws FROM documents),
 pos AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
 tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t FROM pos),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM tri) WHERE c > 1),
@@ -84,7 +111,7 @@ covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + unnes
 doubled AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
 distinct_lines AS (
   SELECT DISTINCT doc_id, coalesce(source, '') AS host, text, norm,
-         len(list_filter(string_split(norm, ' '), x -> x <> '')) AS words FROM lines),
+         len(list_filter(string_split(norm, ' '), lambda x: x <> '')) AS words FROM lines),
 hosts AS (SELECT coalesce(source, '') AS host, count(DISTINCT coalesce(text, '')) AS docs FROM documents GROUP BY 1),
 freq AS (SELECT host, norm, count(DISTINCT text) AS n FROM distinct_lines GROUP BY host, norm),
 over_limit AS (SELECT host, norm FROM freq JOIN hosts USING (host) WHERE n > 100 AND n > 0.05 * docs),
