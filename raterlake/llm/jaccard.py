@@ -1,7 +1,9 @@
 """Exact n-gram Jaccard join with count-vector R-trees, and the components of its links.
 
-A document's set is its distinct five-word shingles (lower case A-Z). Shingles are hashed into ``GROUPS`` groups; the
-counts per group are a point, and the summed coordinate minima of two points bound the overlap of their sets from above.
+A document's set is its distinct five-word shingles (lower case A-Z). Shingles are hashed into groups; the counts per group
+are a point, and the summed coordinate minima of two points bound the overlap of their sets from above. A set of n shingles
+has a fine point of about n / 8 groups, as with fewer the bound of long documents says nothing; summed to ``GROUPS`` groups, it is
+the coarse point that the trees hold. Fine points of different lengths are compared at the shorter one's groups.
 
 One R-tree over all points can't be split over machines so that few parts meet, as random points of like size lie alike. So the
 finest coordinates route the points: in a fixed order of all shingles, rarest first, two sets with a Jaccard similarity of t share one of
@@ -75,36 +77,49 @@ def shingle_order(docs: DataFrame, text: str, k: int) -> np.ndarray:
     return np.ceil(np.log2(counts + 1)).astype(np.uint8)
 
 
+def fine_point(s: np.ndarray) -> np.ndarray:
+    """Counts per group, by the leading bits of the hashes; GROUPS groups at least."""
+    bits = max(GROUPS, len(s) // 8).bit_length() - 1
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def fold(point: np.ndarray, groups: int) -> np.ndarray:
+    return point.reshape(groups, -1).sum(1, dtype=np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch], order: np.ndarray, id_col: str, text: str, k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = words_of.plain(batch.column(text))
-        sizes, nodes, points, prefixes, ends = [], [], [], [], [0]
+        sizes, nodes, points, coarse, prefixes, ends = [], [], [], [], [], [0]
         for s in _shingle_sets(column, k):
             n = len(s)
             sizes.append(n)
             if n:
                 seal = words_of.mix(np.array([s.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(words_of.mix(s)) + np.uint64(n)], np.uint64))
                 nodes.append(int(seal.view(np.int64)[0]))
-                points.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
+                point = fine_point(s)
+                points.append(point.astype(np.uint16).tobytes())
+                coarse.append(fold(point, GROUPS).astype(np.int32).tobytes())
                 length = n - (percent * n + 99) // 100 + 1
                 prefixes.append(s[np.lexsort((s, order[s % np.uint64(SKETCH)]))[:length]])
             else:
                 nodes.append(None)
                 points.append(None)
+                coarse.append(None)
                 prefixes.append(s)
             ends.append(ends[-1] + len(prefixes[-1]))
         flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(id_col), batch.column("_text"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-            ["id", "text_key", "n", "node", "point", "prefix"],
+            [batch.column(id_col), batch.column("_text"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.array(coarse, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+            ["id", "text_key", "n", "node", "point", "coarse", "prefix"],
         )
 
 
 def signatures(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """id, text_key, n, node, point, prefix of each row."""
+    """id, text_key, n, node, point, coarse, prefix of each row."""
     order = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, text, k))
     keyed = docs.select(id_col, text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, text_key bigint, n bigint, node bigint, point binary, prefix array<bigint>"
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, text_key bigint, n bigint, node bigint, point binary, coarse binary, prefix array<bigint>"
     return keyed.mapInArrow(lambda b: _sign(b, order.value, id_col, text, k, percent), schema)
 
 
@@ -112,8 +127,11 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
     """Pairs that the bound of their points allows to link."""
     for batch in batches:
         n, m = batch.column("n").to_numpy(), batch.column("n2").to_numpy()
-        p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, GROUPS) for c in ("point", "point2"))
-        overlap = np.minimum(p, q).sum(1)
+        overlap = np.zeros(batch.num_rows, np.int64)
+        for k in range(batch.num_rows):
+            p, q = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint16) for c in ("point", "point2"))
+            groups = min(len(p), len(q))
+            overlap[k] = np.minimum(fold(p, groups), fold(q, groups)).sum()
         yield batch.filter(pa.array(100 * overlap >= percent * (n + m - overlap))).select(["a", "b", "text_a", "text_b"])
 
 
@@ -191,7 +209,7 @@ def _search_cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         if (comp == comp[0]).all():
             continue
         node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
-        points = np.frombuffer(b"".join(group.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
+        points = np.frombuffer(b"".join(group.column("coarse").to_pylist()), np.int32).reshape(-1, GROUPS)
         # Nodes of the largest component needn't ask: the others ask for them.
         values, counts = np.unique(comp, return_counts=True)
         tree = RTree(points, n)
@@ -214,20 +232,22 @@ def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
 def _components(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
     """id, n, text_key, root (null without shingles) of each row."""
     signed = checkpoint(signatures(docs, id_col, text, k, percent))
-    nodes = checkpoint(signed.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("point").alias("point"), F.min("text_key").alias("text_key")))
+    nodes = checkpoint(signed.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("point").alias("point"), F.min("coarse").alias("coarse"), F.min("text_key").alias("text_key")))
     cells = signed.filter("n > 0").select(F.explode("prefix").alias("cell"), "node")
-    firsts = cells.groupBy("cell").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first != last").drop("last")
-    shared = checkpoint(cells.join(firsts.hint("shuffle_hash"), "cell").distinct())
-    stars = shared.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    # Most cells hold one row. They go before nodes are compared, so that only their counts are shuffled twice.
+    several = cells.groupBy("cell").agg(F.count("*").alias("rows")).filter("rows > 1").select("cell")
+    shared = checkpoint(cells.join(several.hint("shuffle_hash"), "cell").distinct())
+    firsts = shared.groupBy("cell").agg(F.min("node").alias("first"))
+    stars = shared.join(firsts.hint("shuffle_hash"), "cell").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = checkpoint(_verified(stars, nodes, docs, text, k, percent))
     comps = components(links).withColumnRenamed("root", "comp")
     # Cells of two nodes are done; of the others, those with several components go to the trees.
     placed = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_cells = placed.groupBy("cell").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("size > 2 and x != y").select("cell", "size")
-    rows = placed.select("cell", "node", "comp").join(open_cells.hint("shuffle_hash"), "cell").join(nodes.select("node", "n", "point"), "node")
+    rows = placed.select("cell", "node", "comp").join(open_cells.hint("shuffle_hash"), "cell").join(nodes.select("node", "n", "coarse"), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", "n", "point")
+    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", "n", "coarse")
     pairs = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(lambda b: _search_cells(b, percent), "a bigint, b bigint").distinct()
     more = _verified(pairs, nodes, docs, text, k, percent)
     roots = components(links.unionByName(more))
