@@ -2,7 +2,7 @@
 
 A document's set is its distinct five-word shingles (lower case A-Z). Shingles are hashed into groups; the counts per group
 are a point, and the summed coordinate minima of two points bound the overlap of their sets from above. A set of n shingles
-has a fine point of about n / 8 groups, as with fewer the bound of long documents says nothing; summed to ``GROUPS`` groups, it is
+has a fine point of n / 4 to n / 2 groups, as with fewer the bound of long documents says nothing; summed to ``GROUPS`` groups, it is
 the coarse point that the trees hold. Fine points of different lengths are compared at the shorter one's groups.
 
 One R-tree over all points can't be split over machines so that few parts meet, as random points of like size lie alike. So the
@@ -10,7 +10,7 @@ finest coordinates route the points: in a fixed order of all shingles, rarest fi
 their first n - ceil(t n) + 1 shingles (the prefix filter), and each such shared coordinate is a cell with an R-tree of
 its own. The order comes from a count sketch of fixed size over all documents; any order gives the same links.
 
-1. Documents with the same set are one node. 2. Each node of a cell is compared with the cell's smallest node only, so a group
+1. Documents with the same set are one node. 2. Each node of a cell is compared with the cell's hub only (its most shared node), so a group
 of thousands of copies makes a star and not all pairs; links that verify give components. 3. In cells of three or more nodes
 that still hold several components, R-trees find all pairs of nodes of different components whose bound allows a
 link; they are verified as well. Pairs within one component are not needed: the components stay the same. Step 3 makes
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from raterlake.llm import text as words_of
 from raterlake.llm.shared import checkpoint, components, sorted_groups
 
-GROUPS = 64
+GROUPS = 256
 SKETCH = 1 << 18
 SLICES = 16
 BLOCK = 2048
@@ -79,10 +79,20 @@ def shingle_order(docs: DataFrame, text: str, k: int) -> np.ndarray:
 
 def fine_point(s: np.ndarray) -> np.ndarray:
     """Counts per group, by the leading bits of the hashes; GROUPS groups at least."""
-    bits = max(GROUPS, len(s) // 8).bit_length() - 1
+    bits = max(GROUPS, len(s) // 2).bit_length() - 1
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
+def packed(point: np.ndarray) -> bytes:
+    """One byte for each count, or four if one doesn't fit; numbers() tells them apart by the first byte."""
+    small = point.max() < 256
+    return bytes([1 if small else 4]) + point.astype(np.uint8 if small else np.uint32).tobytes()
+
+
+def numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if raw[0] == 1 else np.uint32, offset=1)
+
+
 def fold(point: np.ndarray, groups: int) -> np.ndarray:
     return point.reshape(groups, -1).sum(1, dtype=np.int64)
 
@@ -98,8 +108,8 @@ def _sign(batches: Iterator[pa.RecordBatch], order: np.ndarray, id_col: str, tex
                 seal = words_of.mix(np.array([s.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(words_of.mix(s)) + np.uint64(n)], np.uint64))
                 nodes.append(int(seal.view(np.int64)[0]))
                 point = fine_point(s)
-                points.append(point.astype(np.uint16).tobytes())
-                coarse.append(fold(point, GROUPS).astype(np.int32).tobytes())
+                points.append(packed(point))
+                coarse.append(packed(fold(point, GROUPS)))
                 length = n - (percent * n + 99) // 100 + 1
                 prefixes.append(s[np.lexsort((s, order[s % np.uint64(SKETCH)]))[:length]])
             else:
@@ -129,7 +139,7 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         n, m = batch.column("n").to_numpy(), batch.column("n2").to_numpy()
         overlap = np.zeros(batch.num_rows, np.int64)
         for k in range(batch.num_rows):
-            p, q = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint16) for c in ("point", "point2"))
+            p, q = (numbers(batch.column(c)[k].as_py()) for c in ("point", "point2"))
             groups = min(len(p), len(q))
             overlap[k] = np.minimum(fold(p, groups), fold(q, groups)).sum()
         yield batch.filter(pa.array(100 * overlap >= percent * (n + m - overlap))).select(["a", "b", "text_a", "text_b"])
@@ -209,7 +219,7 @@ def _search_cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         if (comp == comp[0]).all():
             continue
         node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
-        points = np.frombuffer(b"".join(group.column("coarse").to_pylist()), np.int32).reshape(-1, GROUPS)
+        points = np.stack([numbers(x) for x in group.column("coarse").to_pylist()]).astype(np.int32)
         # Nodes of the largest component needn't ask: the others ask for them.
         values, counts = np.unique(comp, return_counts=True)
         tree = RTree(points, n)
@@ -237,8 +247,10 @@ def _components(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -
     # Most cells hold one row. They go before nodes are compared, so that only their counts are shuffled twice.
     several = cells.groupBy("cell").agg(F.count("*").alias("rows")).filter("rows > 1").select("cell")
     shared = checkpoint(cells.join(several.hint("shuffle_hash"), "cell").distinct())
-    firsts = shared.groupBy("cell").agg(F.min("node").alias("first"))
-    stars = shared.join(firsts.hint("shuffle_hash"), "cell").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    # The hub is the node that shares the largest part of its set's cells: the least edited one of a group of near copies.
+    parts = shared.groupBy("node").agg(F.count("*").alias("c")).join(nodes.select("node", "n"), "node").select("node", (F.col("c") / F.col("n")).alias("part"))
+    hubs = shared.join(parts, "node").groupBy("cell").agg(F.max(F.struct("part", "node")).alias("h")).select("cell", F.col("h.node").alias("hub"))
+    stars = shared.join(hubs.hint("shuffle_hash"), "cell").filter("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     links = checkpoint(_verified(stars, nodes, docs, text, k, percent))
     comps = components(links).withColumnRenamed("root", "comp")
     # Cells of two nodes are done; of the others, those with several components go to the trees.
