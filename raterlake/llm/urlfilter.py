@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from raterlake.llm.shared import checkpoint
+
 SALTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,7 +54,8 @@ def templates(urls: DataFrame, host: str, path: str, depth: int = 3, max_childre
         F.sum(F.when(F.col("label"), 1).otherwise(0)).alias("n_bad"),
     )
     paths = paths.withColumn("_segments", F.slice(F.split("_path", "/"), 2, 1 << 20)).withColumn("_template", F.lit(""))
-    paths = paths.withColumn("_salt", F.xxhash64("_host", "_path").bitwiseAND(SALTS - 1))
+    # Each level uses the one before three times, so lineage is cut at each; else the plan would grow as 3**depth.
+    paths = checkpoint(paths.withColumn("_salt", F.xxhash64("_host", "_path").bitwiseAND(SALTS - 1)))
     for level in range(depth):
         paths = paths.withColumn("_segment", F.get("_segments", F.lit(level)))
         there = paths.filter(F.col("_segment").isNotNull())
@@ -63,6 +66,7 @@ def templates(urls: DataFrame, host: str, path: str, depth: int = 3, max_childre
         paths = paths.join(literal, ["_host", "_template", "_segment", "_salt"], "left")
         grown = F.concat("_template", F.lit("/"), F.when(F.col("_literal"), F.col("_segment")).otherwise("*"))
         paths = paths.withColumn("_template", F.when(F.col("_segment").isNull(), F.col("_template")).otherwise(grown)).drop("_literal", "_segment")
+        paths = checkpoint(paths)
     deeper = F.size("_segments") > depth
     template = F.when(deeper, F.concat("_template", F.lit("/**"))).otherwise(F.col("_template"))
     return paths.select("_host", "_path", "n", "n_labelled", "n_bad", template.alias("_template"))
@@ -72,7 +76,7 @@ def template_verdicts(paths: DataFrame, weight: float = 10.0, reject: float = 0.
     """_host, _template, purity, rejected: from the paths with their templates."""
     shape = F.array_join(F.transform(F.split("_template", "/"), lambda x: F.when((x == "*") | (x == "**") | (x == ""), x).otherwise("?")), "/")
     branches = paths.groupBy("_host", "_template").agg(F.sum("n").alias("n"), F.count("*").alias("_paths"), F.sum("n_labelled").alias("n_labelled"), F.sum("n_bad").alias("n_bad"))
-    branches = branches.withColumn("_shape", shape)
+    branches = checkpoint(branches.withColumn("_shape", shape))
     shapes = branches.groupBy("_host", "_shape").agg((F.sum("_paths") / F.sum("n")).alias("_share"))
     total = branches.agg((F.sum("n_bad") / F.greatest(F.sum("n_labelled"), F.lit(1))).alias("_overall"))
     near = F.abs(F.col("_paths") / F.col("n") - F.col("_share")) <= 3 * F.sqrt(F.col("_share") * (1 - F.col("_share")) / F.col("n")) + 1 / F.col("n")
