@@ -62,4 +62,4 @@ def item_sequences(ratings: DataFrame, *columns: str) -> DataFrame:
     """For each item its cells in the order of users, as one array for each column."""
     cells = F.array_sort(F.collect_list(F.struct("user_id", *columns)))
     out = ratings.groupBy("item_id").agg(cells.alias("_c"))
-    return out.select("item_id", *(F.transform("_c", lambda x, c=c: x[c]).alias(f"{c}s") for c in ("user_id", *columns)))
+    return out.select("item_id", *(F.col(f"_c.{c}").alias(f"{c}s") for c in ("user_id", *columns)))

@@ -18,7 +18,7 @@ def counts(rows: DataFrame, tokens: str, lengths: list[int], ordered: bool = Tru
     out = None
     for n in lengths:
         grams = arrays.windows(F.col(tokens), n)
-        grams = grams if ordered else F.transform(grams, F.array_sort)
+        grams = grams if ordered else F.transform(grams, lambda x: F.sort_array(x))
         one = rows.select(F.lit(n).alias("n"), F.explode(F.transform(grams, lambda x: F.array_join(x, " "))).alias("ngram"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("n", "ngram").agg(F.count("*").alias("count"))

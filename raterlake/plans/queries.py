@@ -23,9 +23,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*((F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in df.dtypes))
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
+    """Registers a query. Means of scores of six digits are rounded to more, as they can lie half-way between two of six."""
+
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -223,7 +225,7 @@ def combined_scores(spark, sf_dir):
 
 
 @query(with_ctes(*_R) + """, u AS (SELECT split_part(user_id, '.', 1) AS user_id, item_id, avg(prediction) AS prediction, max(label) AS label FROM ratings GROUP BY 1, 2)
-SELECT item_id, round(avg(prediction), 6) AS mean, round(median(prediction), 6) AS median FROM u GROUP BY item_id""")
+SELECT item_id, round(avg(prediction), 10) AS mean, round(median(prediction), 10) AS median FROM u GROUP BY item_id""", digits=10)
 def unbagged_means(spark, sf_dir):
     return combine.combine(combine.unbag(W.ratings(spark, sf_dir))).select("item_id", "mean", "median")
 
@@ -257,7 +259,7 @@ def softmax_means(spark, sf_dir):
     return combine.softmax_weighted(c.join(F.broadcast(confidence.user_confidence(c).select("user_id", "w_brier")), "user_id"), "w_brier")
 
 
-@query(with_ctes(*_C) + """ SELECT user_id, item_id, round(CASE WHEN reliable <> 0 THEN prediction ELSE coalesce(avg(CASE WHEN reliable <> 0 THEN prediction END) OVER (PARTITION BY item_id), avg(prediction) OVER (PARTITION BY item_id)) END, 6) AS filled FROM colored""")
+@query(with_ctes(*_C) + """ SELECT user_id, item_id, round(CASE WHEN reliable <> 0 THEN prediction ELSE coalesce(avg(CASE WHEN reliable <> 0 THEN prediction END) OVER (PARTITION BY item_id), avg(prediction) OVER (PARTITION BY item_id)) END, 10) AS filled FROM colored""", digits=10)
 def filled_cells(spark, sf_dir):
     return combine.fill_masked(W.colored(spark, sf_dir)).select("user_id", "item_id", "filled")
 
@@ -459,14 +461,14 @@ def nearest_centers(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT lang AS a, source AS b, count(*) AS n FROM documents GROUP BY 1, 2), x AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS s FROM t),
-h AS (SELECT -sum(n / s * ln(n / na)) AS hba, -sum(n / s * ln(n / nb)) AS hab, -sum(n / s * ln(na / s)) AS ha, -sum(n / s * ln(nb / s)) AS hb, sum(n * (n - 1) / 2) AS both, sum((na - 1) / 2 * n) AS ia, sum((nb - 1) / 2 * n) AS ib, max(s) * (max(s) - 1) / 2 AS total FROM x)
+h AS (SELECT -sum(n / s * ln(n / na)) AS hba, -sum(n / s * ln(n / nb)) AS hab, -sum(n / s * ln(na / s)) AS ha, -sum(n / s * ln(nb / s)) AS hb, sum(n * (n - 1) / 2) AS pairs, sum((na - 1) / 2 * n) AS ia, sum((nb - 1) / 2 * n) AS ib, max(s) * (max(s) - 1) / 2 AS total FROM x)
 SELECT round(1 - hab / ha, 6) AS homogeneity, round(1 - hba / hb, 6) AS completeness, round(2 * (1 - hab / ha) * (1 - hba / hb) / ((1 - hab / ha) + (1 - hba / hb)), 6) AS v_measure,
-  round((both - ia * ib / total) / ((ia + ib) / 2 - ia * ib / total), 6) + 0.0 AS adjusted_rand FROM h""")
+  round((pairs - ia * ib / total) / ((ia + ib) / 2 - ia * ib / total), 6) + 0.0 AS adjusted_rand FROM h""")
 def cluster_agreement(spark, sf_dir):
     return cluster.agreement(cluster.contingency(table(spark, sf_dir, "documents"), "lang", "source"))
 
 
-@query("""WITH k AS (SELECT unnest(range(50)) AS k) SELECT round(k * 500.0::DOUBLE / 49, 6) AS x, round(avg(exp(-((k * (500.0::DOUBLE / 49) - value) / 20.0::DOUBLE) ** 2 / 2) / (20.0::DOUBLE * 2.5066282746310002)), 6) AS density FROM events, k GROUP BY k""")
+@query("""WITH k AS (SELECT unnest(range(50)) AS k) SELECT round(k * 500.0::DOUBLE / 49, 6) AS x, round(avg(exp(-(((k * (500.0::DOUBLE / 49) - value) / 20.0::DOUBLE) ** 2) / 2) / (20.0::DOUBLE * 2.5066282746310002)), 6) AS density FROM events, k GROUP BY k""")
 def value_density(spark, sf_dir):
     return cluster.kernel_density(table(spark, sf_dir, "events"), "value", 20.0, 0.0, 500.0)
 
