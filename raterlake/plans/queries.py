@@ -322,7 +322,7 @@ def average_ranks(spark, sf_dir):
 
 
 @query(with_ctes(*_V) + """, q AS (SELECT user_id, vote, quantile_cont(prediction, 0.25) AS q1, quantile_cont(prediction, 0.75) AS q3 FROM voted GROUP BY user_id, vote)
-SELECT user_id, vote, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q1 - 1.5 * (q3 - q1), 6) + 0.0 AS lower, round(q3 + 1.5 * (q3 - q1), 6) AS upper FROM q""")
+SELECT user_id, vote, round(q1, 10) AS q1, round(q3, 10) AS q3, round(q1 - 1.5 * (q3 - q1), 10) + 0.0 AS lower, round(q3 + 1.5 * (q3 - q1), 10) AS upper FROM q""", digits=10)
 def outlier_bounds(spark, sf_dir):
     return confidence.outlier_bounds(W.voted(spark, sf_dir))
 
