@@ -528,7 +528,7 @@ def kmeans_clusters(spark, sf_dir):
     return cluster.agreement(cluster.contingency(points, "label", "prediction"))
 
 
-@query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS user_id, CAST(count(*) AS BIGINT) AS n, round(avg(value / 500), 6) AS mean, round(avg(CAST((value / 500 >= 0.5) = (user_id % 2 = 1) AS INT)), 6) AS "right" FROM events GROUP BY 1, 2""")
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS user_id, CAST(count(*) AS BIGINT) AS n, round(avg(value / 500), 10) AS mean, round(avg(CAST((value / 500 >= 0.5) = (user_id % 2 = 1) AS INT)), 10) AS "right" FROM events GROUP BY 1, 2""", digits=10)
 def windowed_scores(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("user_id"), (F.col("value") / 500).alias("prediction"), (F.col("user_id") % 2).cast("int").alias("label"))
     return scores.windowed_scores(e, "1 day")
