@@ -1,8 +1,8 @@
 """Quality rules from the frequency of lines across documents, in DataFrame functions only.
 
 Lines are normalised (lower case, white space collapsed, ends trimmed) and hashed. For each host, the
-distinct documents that hold a line are counted; lines in more than ``line_limit`` of them are removed,
-and a document is rejected when the lines left hold too small a part of its words.
+distinct documents that hold a line are counted; lines in more than a share of them are removed (and in more
+than ``FEW``, as fewer are no evidence), and a document is rejected when the lines left hold too small a part of its words.
 
 Defined results: a null text counts as empty, a null host as the empty host. Rows with the same host and
 text count as one document, so exact copies don't make their own lines frequent; each row still gets its
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 SALTS = 16
+#: Documents that a frequent line must exceed on a host of any size.
+FEW = 5
 
 
 def word_list(text: Column) -> Column:
@@ -97,7 +99,7 @@ def _distinct_lines(text: Column) -> Column:
     return let(F.transform(lines, normal_line), lambda x: F.transform(F.array_distinct(x), lambda y: F.struct(F.xxhash64(y).alias("line"), F.size(word_list(y)).cast("long").alias("n"))))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = 100, host_share: float = 0.05) -> tuple[DataFrame, DataFrame]:
+def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = FEW, host_share: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Lines over the limit (_host, _line, n_docs), and each document's distinct lines (_host, _line, _n, _doc, _salt).
 
     The limit of a host is the larger of ``min_docs`` and ``host_share`` of its distinct documents.
@@ -114,7 +116,7 @@ def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", mi
     return counts.join(hosts, "_host").filter(F.col("n_docs") > F.col("_docs") * host_share).select("_host", "_line", "n_docs"), lines
 
 
-def line_verdicts(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = 100, host_share: float = 0.05) -> DataFrame:
+def line_verdicts(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = FEW, host_share: float = 0.05) -> DataFrame:
     """Per distinct document that loses lines: _doc, _removed (their hashes), _removed_words (each line counts once)."""
     over, lines = frequent_lines(docs, host, text, min_docs, host_share)
     # A line may stand in a third of all documents: its rows are dealt over salts.
@@ -144,7 +146,7 @@ def _judged(docs: DataFrame, host: str, text: str, min_docs: int, host_share: fl
     )
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = 100, host_share: float = 0.05, max_removed: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = FEW, host_share: float = 0.05, max_removed: float = 0.5) -> DataFrame:
     """Statistics and verdict of each row: the columns of docs without the text, and those in MADE.
 
     A document is depleted when the lines over the limit hold more than ``max_removed`` of the words of its distinct
@@ -153,7 +155,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", min_docs: i
     return _judged(docs, host, text, min_docs, host_share, max_removed).drop(text)
 
 
-def clean(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = 100, host_share: float = 0.05, max_removed: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = FEW, host_share: float = 0.05, max_removed: float = 0.5) -> DataFrame:
     """The documents that the rules keep, without the lines over the limit; the columns of docs, n_chars for the new text."""
     safe = docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in MADE})
     kept = _judged(safe, host, text, min_docs, host_share, max_removed).filter("kept")
