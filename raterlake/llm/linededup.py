@@ -1,10 +1,9 @@
 """Deletes runs of lines that an earlier document, or an earlier part of the same one, already holds.
 
-Winnowing over line hashes: of each ``window`` neighbouring line hashes the smallest (the last, among equals) is a
-fingerprint, so any run of ``window`` lines that two places share yields the same fingerprint at the same line of the
-run. Places that share a fingerprint are joined. A match is extended both ways by the hashes of the lines around the
-fingerprint until it holds ``window`` lines; the matches of one place that overlap or touch form its repeated run.
-The first place, by document and line, keeps its lines; all later ones lose theirs.
+Every window of ``window`` neighbouring line hashes is hashed as a whole, and equal windows are grouped: none is left out, as
+winnowing would do, and no match is extended line by line, as overlapping windows form its run. ``print``, the smallest hash
+of a window, only goes along as part of the key. The first place of a window, by document and line, keeps its lines; all
+later ones lose theirs.
 
 So a line goes exactly when it lies in ``window`` neighbouring lines that equal ``window`` neighbouring lines earlier
 in the order of (id, row, line). Lines are compared without case, with white space collapsed and trimmed; lines without
@@ -12,7 +11,7 @@ a word are no part of the order: they neither match nor end a run, and stay in t
 
 Defined results: a null text counts as empty and stays null, a null id comes first; of rows with equal ids the order is
 that of their text's hash, and rows that are equal in both are one document, treated alike. Texts of fewer lines are
-returned unchanged. Copies of a fingerprint in thousands of documents meet as one smallest place (a partial aggregate),
+returned unchanged. Copies of a window in thousands of documents meet as one smallest place (a partial aggregate),
 never as pairs.
 """
 
@@ -63,7 +62,7 @@ def places(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
     """_id, _row, at: each window of lines that occurs at an earlier place."""
     all_places = places(docs, id_col, text, window).withColumn("_salt", F.col("_row").bitwiseAND(SALTS - 1))
-    # Of the places joined by a fingerprint, those whose extension to a whole window agrees have one smallest place.
+    # Equal windows have one smallest place.
     first = all_places.groupBy("print", "run").agg(F.min(F.struct("_id", "_row", "at")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     salted = first.select("print", "run", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("_salt"))
     later = all_places.join(salted, ["print", "run", "_salt"]).filter(F.struct("_id", "_row", "at") != F.col("_first"))
