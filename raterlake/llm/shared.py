@@ -8,18 +8,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: No key of a dealt join keeps more than one of so many parts of the rows in one place.
+PARTS = 10_000
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of its own only where none is set, as in tests."""
+    """The cluster's shared checkpoint folder; a local folder only where none is set and everything runs on this machine, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def dealt(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, by: Column) -> tuple[DataFrame, DataFrame]:
+    """rows and counts (one row for each of the keys, with n rows' number) with a column _salt more, to be joined by keys and _salt.
+
+    Rows of a key that holds over 1 / PARTS of all are dealt by ``by`` (a number that the row itself gives, as tasks may run
+    again) over so many salts that none holds more. There are at most PARTS such keys, which are broadcast, and at most as many more
+    rows in counts. Keys that are null don't meet.
+    """
+    limit = (counts.agg(F.sum(n)).first()[0] or 0) // PARTS + 1
+    more = F.when(F.col(n) > limit, F.floor(F.col(n) / limit)).otherwise(0).cast("long")
+    heavy = counts.filter(F.col(n) > limit).select(*keys, (more + 1).alias("_salts"))
+    rows = rows.join(F.broadcast(heavy), keys, "left")
+    rows = rows.withColumn("_salt", F.coalesce(F.pmod(by, F.col("_salts")), F.lit(0)).cast("long")).drop("_salts")
+    return rows, counts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), more)))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again."""
     shared_folder(df.sparkSession)

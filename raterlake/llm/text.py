@@ -86,14 +86,26 @@ def blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int]]:
         at = min(to, n)
 
 
-def words(column: pa.Array, lower: bool = True, keep: np.ndarray | None = None) -> Words:
-    """Words of a large string array without nulls. keep: a table of bytes that count; others are skipped inside words."""
-    data, offsets = utf8(column)
+def _starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each byte belongs to a word, and whether it begins one."""
     is_word = _WORD[data]
     inside = offsets[:-1][offsets[:-1] < len(data)]
     starts = is_word.copy()
     starts[1:] &= ~is_word[:-1]
     starts[inside] = is_word[inside]
+    return is_word, starts
+
+
+def counts(column: pa.Array) -> np.ndarray:
+    """The number of words of each text."""
+    data, offsets = utf8(column)
+    return np.diff(np.searchsorted(np.flatnonzero(_starts(data, offsets)[1]), offsets))
+
+
+def words(column: pa.Array, lower: bool = True, keep: np.ndarray | None = None) -> Words:
+    """Words of a large string array without nulls. keep: a table of bytes that count; others are skipped inside words."""
+    data, offsets = utf8(column)
+    is_word, starts = _starts(data, offsets)
     ends = is_word.copy()
     ends[:-1] &= ~is_word[1:]
     last = offsets[1:][offsets[1:] > 0] - 1
