@@ -1,9 +1,11 @@
-"""Deletes runs of lines that an earlier document, or an earlier part of the same one, already holds.
+"""Deletes runs of lines that an earlier document, or an earlier part of the same one, already holds: winnowing over line hashes.
 
-Every window of ``window`` neighbouring line hashes is hashed as a whole, and equal windows are grouped: none is left out, as
-winnowing would do, and no match is extended line by line, as overlapping windows form its run. ``print``, the smallest hash
-of a window, only goes along as part of the key. The first place of a window, by document and line, keeps its lines; all
-later ones lose theirs.
+Of every ``window`` neighbouring line hashes the smallest is selected (the last among equals), so any two places that share a run of so many
+lines have selected the same line of it: that is the guarantee. A selected line is one row, a fingerprint with its position and the
+hashes of the lines around it; a line that is least in several windows is selected once. Positions are joined by fingerprint, those
+that stand at one position only go, and the matches of the others are extended to both sides by the neighbouring hashes as far as the windows
+that selected the line reach. Each such window keeps its first position, by document and line; at later ones the lines
+of the match are deleted. Overlapping matches are one run.
 
 So a line goes exactly when it lies in ``window`` neighbouring lines that equal ``window`` neighbouring lines earlier
 in the order of (id, row, line). Lines are compared without case, with white space collapsed and trimmed; lines without
@@ -20,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+from raterlake.llm.shared import dealt, stored
+
 _SPACE = r"[\x20\x09-\x0D]+"
 _MADE = ("n_lines", "n_removed", "runs")
 
@@ -40,32 +43,51 @@ def line_hashes(text: Column) -> Column:
 
 
 def _fingerprints(hashes: Column, window: int) -> Column:
-    """For each window of lines: its place, the fingerprint (its smallest hash, the last among equals) and all hashes together."""
+    """For each selected line: its place, its hash (print), those of the window - 1 lines before and after it (null beyond the text), and
+    how many lines before it the windows begin that selected it."""
+    n = F.size(hashes)
+
+    def least(i: Column) -> Column:
+        # Place of the smallest of the window that begins at i: of equal ones the last.
+        return _let(F.slice(hashes, i + 1, window), lambda w: _let(F.array_min(w), lambda m: i + window - F.array_position(F.reverse(w), m).cast("int")))
+
+    def of(minima: Column) -> Column:
+        # minima[i]: the place that the window beginning at i selects.
+        def one(at: Column) -> Column:
+            reach = F.filter(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.coalesce(F.get(minima, at - k) == at, F.lit(False)))
+            around = F.transform(F.sequence(F.lit(1 - window), F.lit(window - 1)), lambda k: F.get(hashes, at + k))
+            return F.struct(at.alias("at"), F.get(hashes, at).alias("print"), around.alias("around"), reach.alias("reach"))
 
-    def one(i: Column) -> Column:
-        return _let(F.slice(hashes, i, window), lambda w: F.struct((i - 1).alias("at"), F.array_min(w).alias("print"), F.xxhash64(w).alias("run")))
+        return F.transform(F.array_distinct(minima), one)
 
-    return F.when(F.size(hashes) >= window, F.transform(F.sequence(F.lit(1), F.size(hashes) - window + 1), one))
+    return F.when(n >= window, _let(F.transform(F.sequence(F.lit(0), n - window), least), of))
 
 
-def places(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
-    """_id, _row, print, at, run: every window of lines under its fingerprint, once for equal rows."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
+    """_id, _row, at, print, around, reach: the selected lines of every text, once for equal rows."""
     t = F.coalesce(F.col(text), F.lit(""))
     each = _let(line_hashes(t), lambda h: _fingerprints(h, window))
-    return (
-        docs.select(F.col(id_col).alias("_id"), F.xxhash64(t).alias("_row"), F.explode(each).alias("_x"))
-        .select("_id", "_row", "_x.print", "_x.at", "_x.run")
-        .distinct()
-    )
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(t).alias("_row"), F.explode(each).alias("_x"))
+    return rows.select("_id", "_row", "_x.*").distinct()
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
-    """_id, _row, at: each window of lines that occurs at an earlier place."""
-    all_places = places(docs, id_col, text, window).withColumn("_salt", F.col("_row").bitwiseAND(SALTS - 1))
-    # Equal windows have one smallest place.
-    first = all_places.groupBy("print", "run").agg(F.min(F.struct("_id", "_row", "at")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    salted = first.select("print", "run", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("_salt"))
-    later = all_places.join(salted, ["print", "run", "_salt"]).filter(F.struct("_id", "_row", "at") != F.col("_first"))
+    """_id, _row, at: each window of lines (by its first) that occurs at an earlier place."""
+    # Both tables are read several times, and the lines are hashed once.
+    selected = stored(fingerprints(docs, id_col, text, window))
+    counts = selected.groupBy("print").agg(F.count("*").alias("_n")).filter("_n > 1")
+    # A line may stand in a third of all documents: its positions are dealt by themselves, so copies of one text part too.
+    place = F.xxhash64("_id", "_row", "at")
+    rows, counts = dealt(selected, counts, ["print"], "_n", place)
+    joined = rows.join(counts.select("print", "_salt"), ["print", "_salt"])
+    # Extended matches: the lines from k before the fingerprint on.
+    reached = joined.select("_id", "_row", "at", "print", "around", F.explode("reach").alias("k"))
+    run = F.xxhash64(F.slice("around", F.lit(window) - F.col("k"), window))
+    matches = stored(reached.select("_id", "_row", "print", "k", (F.col("at") - F.col("k")).alias("at"), run.alias("run")))
+    # Equal matches have one first place.
+    first = matches.groupBy("print", "k", "run").agg(F.min(F.struct("_id", "_row", "at")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    rows, first = dealt(matches, first, ["print", "k", "run"], "_n", place)
+    later = rows.join(first, ["print", "k", "run", "_salt"]).filter(F.struct("_id", "_row", "at") != F.col("_first"))
     return later.select("_id", "_row", "at")
 
 
