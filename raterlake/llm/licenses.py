@@ -1,16 +1,18 @@
 """License scans: MinHash bands over overlapping windows of the text retrieve templates, shingle containment verifies.
 
 Words are compared without case and ASCII punctuation; a template's set is its five-word shingles (the whole sequence if it has
-fewer words). For each template, windows with as many shingles slide over the text word by word. A window's MinHash has
-``BANDS`` x ``ROWS`` values; a window that shares a band with a template is a candidate. At a Jaccard similarity s of window
-and template a band collides with probability s**ROWS, so a window is retrieved with 1 - (1 - s**ROWS)**BANDS: over 0.9999 at
-s = 0.67, which a containment of 0.8 in a window of the template's size implies. Verification is exact: the share of
-the template's shingles in the window must reach ``containment``.
-
-A window without any shingle of a template has another minimum in every value, so it can't collide and gets no signature.
-
-Templates are fixed and few, so their bands go along with the code. Rows are independent: no shuffle. Defined results: null or
-empty texts match nothing; of one template a text's best window is given (the first, among equals), unless another template over it fits better.
+fewer words). All templates stand in one table of MinHash bands, ``BANDS`` of ``ROWS`` values each. Windows of a few sizes (powers of
+``STEP``, each template belongs to the next one above its own) overlap over the text; those that hold too few shingles of any template to
+reach the containment are left out, which loses none, and the bands of the others look templates up in the table. A window that
+holds 0.8 of a template's shingles and is at most ``STEP`` times as long has a Jaccard similarity s of 0.55 or more with it, and is
+retrieved with 1 - (1 - s**ROWS)**BANDS: at least 0.997, and there are several such windows.
+
+Verification is exact: of all windows of the template's own size that begin at one of its shingles (others hold no more of it), the
+one that holds the largest share of its shingles, at least ``containment``, is the match (the first, among equals).
+
+Templates are fixed and few, so the table goes along with the code. Rows are independent: no shuffle. Defined results: null or
+empty texts match nothing; each template gives at most one row for a row of docs; where a template lies over another of at least half its
+size that fits better, it isn't given (so a long licence stays beside the short notice in it); templates without a word are ignored.
 """
 
 from __future__ import annotations
@@ -24,62 +26,71 @@ from pyspark.sql import types as T
 
 from raterlake.llm import text as words_of
 from raterlake.llm.decontam import word_hashes
+from raterlake.llm.license_texts import TEMPLATES
 
-BANDS, ROWS, SHINGLE = 16, 2, 5
+BANDS, ROWS, SHINGLE, STEP = 16, 2, 5, 1.25
 _SEEDS = np.random.default_rng(8).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
 
-#: Fixed texts: notices of public licences.
-TEMPLATES: dict[str, str] = {
-    "MIT-notice": "Released under the MIT License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "all-rights-reserved": "All rights reserved.",
-}
-
-
-def _signature(shingles: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
-    """BANDS x windows: keys of the bands for windows of so many shingles."""
-    view = np.lib.stride_tricks.sliding_window_view(shingles, size)[starts]
-    values = np.stack([words_of.mix(view ^ s).min(1) for s in _SEEDS])
-    return np.stack([words_of.runs(values[k * ROWS : (k + 1) * ROWS].T.reshape(-1), ROWS)[::ROWS] for k in range(BANDS)])
+
+def _bands(shingles: np.ndarray, windows: dict[int, np.ndarray]) -> np.ndarray:
+    """Keys of all bands of windows: places where they begin, by size; windows are cut at the text's end."""
+    widest, n = max(windows), len(shingles)
+    keys = {size: np.arange(BANDS, dtype=np.uint64)[:, None] + np.zeros(len(starts), np.uint64) for size, starts in windows.items()}
+    for k, seed in enumerate(_SEEDS):
+        # Minima of 1, 2, 4, ... neighbours; those of a window are the two that cover it.
+        least, span = np.concatenate((words_of.mix(shingles ^ seed), np.full(widest, ~np.uint64(0)))), 1
+        for size, starts in sorted(windows.items()):
+            while span * 2 <= size:
+                least[:-span] = np.minimum(least[:-span], least[span:])
+                span *= 2
+            keys[size][k // ROWS] = words_of.mix(keys[size][k // ROWS] ^ np.minimum(least[starts], least[np.minimum(starts + size - span, n + widest - 1)]))
+    return np.concatenate([x.ravel() for x in keys.values()])
+
+
+def window_size(n: int) -> int:
+    """The least of 1, 2, 3, ... grown by STEP that is n or more."""
+    size = 1
+    while size < n:
+        size = max(size + 1, int(size * STEP))
+    return size
 
 
 class Templates:
-    """Shingles and bands of the templates, by the words in a shingle."""
+    """The templates' shingles, and one table of their bands."""
 
-    def __init__(self, texts: dict[str, str]):
-        self.names = list(texts)
+    def __init__(self, texts: dict[str, str], containment: float):
         w = word_hashes(pa.array(list(texts.values()), pa.large_string()))
-        self.sets, self.sizes, self.kinds, self.bands = [], [], [], []
-        for k in range(len(texts)):
+        self.names, self.sets, self.sizes, self.kinds = [], [], [], []
+        bands = []
+        for k, name in enumerate(texts):
             own = w.hash[w.of(k)]
+            if not len(own):
+                continue
             kind = min(SHINGLE, len(own))
             shingles = words_of.runs(own, kind)
-            self.sets.append(set(shingles.tolist()))
+            self.names.append(name)
+            self.sets.append(np.unique(shingles))
             self.sizes.append(len(shingles))
             self.kinds.append(kind)
-            self.bands.append(_signature(shingles, len(shingles), np.zeros(1, np.int64))[:, 0])
-        self.known = {kind: np.array(sorted(set().union(*(s for s, x in zip(self.sets, self.kinds, strict=True) if x == kind))), np.uint64) for kind in set(self.kinds)}
+            bands.append(_bands(shingles, {len(shingles): np.zeros(1, np.int64)}))
+        keys = np.concatenate([*bands, np.zeros(0, np.uint64)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.of = keys[order], np.repeat(np.arange(len(bands)), BANDS)[order]
+        #: The shingles that each template needs.
+        self.least = [int(np.ceil(containment * len(x) - 1e-9)) for x in self.sets]
+        self.known = {kind: np.unique(np.concatenate([x for x, y in zip(self.sets, self.kinds, strict=True) if y == kind])) for kind in set(self.kinds)}
+        self.windows: dict[int, dict[int, int]] = {kind: {} for kind in self.known}
+        for size, kind, least in zip(self.sizes, self.kinds, self.least, strict=True):
+            of = self.windows[kind]
+            of[window_size(size)] = min(least, of.get(window_size(size), least))
         self.maybe = {}
         for kind, values in self.known.items():
             self.maybe[kind] = np.zeros(1 << 16, bool)
             self.maybe[kind][values & np.uint64(0xFFFF)] = True
 
-    def scan(self, w: words_of.Words, containment: float) -> Iterator[tuple[int, str, int, int, float]]:
+    def scan(self, w: words_of.Words) -> Iterator[tuple[int, str, int, int, float]]:
         """Text, name, first word, last word (exclusive), containment."""
+        by_text: dict[int, list[tuple[int, int, int, float]]] = {}
         for kind, known in self.known.items():
             shingles = words_of.runs(w.hash, kind)
             hit = np.flatnonzero(self.maybe[kind][shingles & np.uint64(0xFFFF)])
@@ -88,43 +99,62 @@ class Templates:
             whole = hit + kind <= w.first[text + 1]
             hit, text = hit[whole], text[whole]
             cuts = np.flatnonzero(np.diff(text)) + 1
-            for k, hits in zip(text[np.concatenate(([0], cuts))].tolist() if len(text) else [], np.split(hit, cuts), strict=False):
-                found = list(self._scan_text(k, kind, shingles, int(w.first[k]), int(w.first[k + 1]) - kind + 1, hits, containment))
-                # Of templates that lie over each other, those that fit worse go.
-                yield from (x for x in found if not any(x[2] < y[3] and y[2] < x[3] and y[4] > x[4] for y in found))
-
-    def _scan_text(self, text: int, kind: int, shingles: np.ndarray, lo: int, hi: int, hits: np.ndarray, containment: float) -> Iterator[tuple[int, str, int, int, float]]:
-        for t, name in enumerate(self.names):
-            if self.kinds[t] != kind:
-                continue
-            size, own = self.sizes[t], self.sets[t]
-            # At an end of the text, a shorter window is all there is.
-            size = min(size, hi - lo)
-            starts = np.unique((hits[:, None] - np.arange(size)[None, :]).ravel())
-            starts = starts[(starts >= lo) & (starts + size <= hi)]
-            if not len(starts):
-                continue
-            keys = _signature(shingles[lo:hi], size, starts - lo)
-            candidates = starts[(keys == self.bands[t][:, None]).any(0)]
-            best = None
-            for s in candidates.tolist():
-                share = len(own.intersection(shingles[s : s + size].tolist())) / len(own)
-                if share >= containment and (best is None or share > best[2]):
-                    best = (s - lo, s - lo + size + kind - 1, share)
-            if best:
-                yield text, name, *best
+            for hits in np.split(hit, cuts) if len(hit) else []:
+                k = int(np.searchsorted(w.first, hits[0], "right")) - 1
+                lo = int(w.first[k])
+                own = shingles[lo : int(w.first[k + 1]) - kind + 1]
+                for t in self.retrieved(own, hits - lo, kind):
+                    if match := self.best(own, hits - lo, t):
+                        by_text.setdefault(k, []).append((t, match[0], match[0] + min(self.sizes[t], len(own) - match[0]) + kind - 1, match[1]))
+        for k, found in sorted(by_text.items()):
+            for t, a, b, share in sorted(found):
+                if not any(a < y and x < b and other > share and 2 * self.sizes[u] >= self.sizes[t] for u, x, y, other in found):
+                    yield k, self.names[t], a, b, share
+
+    def retrieved(self, shingles: np.ndarray, hits: np.ndarray, kind: int) -> list[int]:
+        """Templates of which some window that begins at a hit shares a band."""
+        windows = {size: hits[np.searchsorted(hits, hits + size) - np.arange(len(hits)) >= least] for size, least in self.windows[kind].items()}
+        windows = {size: starts for size, starts in windows.items() if len(starts)}
+        if not windows:
+            return []
+        first = min(int(x[0]) for x in windows.values())
+        last = max(int(x[-1]) + size for size, x in windows.items())
+        keys = np.unique(_bands(shingles[first:last], {size: starts - first for size, starts in windows.items()}))
+        lo, hi = (np.searchsorted(self.keys, keys, side) for side in ("left", "right"))
+        found = {t for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True) for t in self.of[a:b].tolist()}
+        return sorted(t for t in found if self.kinds[t] == kind)
+
+    def best(self, shingles: np.ndarray, hits: np.ndarray, t: int) -> tuple[int, float] | None:
+        """Start and share of the window of the template's size that holds most of its shingles, if enough."""
+        own, size = self.sets[t], self.sizes[t]
+        mine = hits[np.isin(shingles[hits], own)]
+        values = shingles[mine].tolist()
+        # The number of different values between the starts, moved on from one to the next.
+        held: dict[int, int] = {}
+        stop, most, at = 0, 0, -1
+        for k, start in enumerate(mine.tolist()):
+            while stop < len(mine) and mine[stop] < start + size:
+                held[values[stop]] = held.get(values[stop], 0) + 1
+                stop += 1
+            if len(held) > most:
+                most, at = len(held), start
+            if held[values[k]] == 1:
+                del held[values[k]]
+            else:
+                held[values[k]] -= 1
+        return (at, most / len(own)) if most >= self.least[t] else None
 
 
 _made: dict[tuple, Templates] = {}
 
 
 def _scan(batches: Iterator[pa.RecordBatch], texts: dict[str, str], id_col: str, text: str, containment: float) -> Iterator[pa.RecordBatch]:
-    key = tuple(texts.items())
-    templates = _made[key] = _made.get(key) or Templates(texts)
+    key = (containment, *texts.items())
+    templates = _made[key] = _made.get(key) or Templates(texts, containment)
     for batch in batches:
         column, rows = words_of.plain(batch.column(text)), []
         for a, b in words_of.blocks(column):
-            rows += [(a + k, *x) for k, *x in templates.scan(word_hashes(column.slice(a, b - a)), containment)]
+            rows += [(a + k, *x) for k, *x in templates.scan(word_hashes(column.slice(a, b - a)))]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
         arrays = [pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)]
