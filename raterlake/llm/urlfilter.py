@@ -2,24 +2,26 @@
 
 The tree is built level by level with aggregates: below a template, a segment stays literal if its parent has at most
 ``max_children`` different segments or the segment holds at least ``min_share`` of the parent's urls; all others become the
-wildcard ``*``. Segments beyond ``depth`` become one ``**``. Branches of a host that differ in literals only, so with the same
+wildcard ``*``. It goes on until no template has two paths with a further segment; the rest of a path that is alone stays literal. Branches of a host that differ in literals only, so with the same
 shape, are merged when they are statistically similar: the share of different paths among a branch's urls lies within
 three standard errors of the shape's. A (merged) template is rejected when at least half of its urls carry a label and its
 purity, (blocked + weight * overall share) / (labelled + weight), is ``reject`` or more.
 
 Labels are the rules' own verdicts, or a boolean column (true: bad). Defined results: a null url, or one without ``://``, has
 empty host and path, fits no rule, belongs to the empty template, and is allowed unless its labels reject it; rows that
-repeat count as often as they occur. Keys may be hot: counts are partial aggregates, and the joins back are salted.
+repeat count as often as they occur. Keys may be hot: counts are partial aggregates, and rows of a hot key are dealt over salts when joined.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from raterlake.llm.shared import checkpoint
+from raterlake.llm.shared import checkpoint, dealt
 
-SALTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,11 +43,13 @@ def rule_column(host: Column, path: Column, rules: list[str]) -> Column:
     return out
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+def _joined(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, by: Column, how: str = "inner") -> DataFrame:
+    """rows with the columns of counts (n isn't taken over), hot keys dealt."""
+    rows, counts = dealt(rows, counts, keys, n, by)
+    return rows.join(counts.drop(n), [*keys, "_salt"], how).drop("_salt")
 
 
-def templates(urls: DataFrame, host: str, path: str, depth: int = 3, max_children: int = 10, min_share: float = 0.1) -> DataFrame:
+def templates(urls: DataFrame, host: str, path: str, max_children: int = 10, min_share: float = 0.1) -> DataFrame:
     """Each distinct host and path of urls with n (urls), n_labelled, n_bad and its template. urls has host, path and
     label (boolean or null)."""
     paths = urls.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(
@@ -53,44 +57,53 @@ def templates(urls: DataFrame, host: str, path: str, depth: int = 3, max_childre
         F.count("label").alias("n_labelled"),
         F.sum(F.when(F.col("label"), 1).otherwise(0)).alias("n_bad"),
     )
-    paths = paths.withColumn("_segments", F.slice(F.split("_path", "/"), 2, 1 << 20)).withColumn("_template", F.lit(""))
-    # Each level uses the one before three times, so lineage is cut at each; else the plan would grow as 3**depth.
-    paths = checkpoint(paths.withColumn("_salt", F.xxhash64("_host", "_path").bitwiseAND(SALTS - 1)))
-    for level in range(depth):
-        paths = paths.withColumn("_segment", F.get("_segments", F.lit(level)))
-        there = paths.filter(F.col("_segment").isNotNull())
-        nodes = there.groupBy("_host", "_template", "_segment").agg(F.sum("n").alias("_n"))
-        parents = nodes.groupBy("_host", "_template").agg(F.count("*").alias("_children"), F.sum("_n").alias("_all"))
-        literal = nodes.join(parents, ["_host", "_template"]).filter((F.col("_children") <= max_children) | (F.col("_n") >= F.col("_all") * min_share))
-        literal = _salted(literal.select("_host", "_template", "_segment", F.lit(True).alias("_literal")))
-        paths = paths.join(literal, ["_host", "_template", "_segment", "_salt"], "left")
-        grown = F.concat("_template", F.lit("/"), F.when(F.col("_literal"), F.col("_segment")).otherwise("*"))
-        paths = paths.withColumn("_template", F.when(F.col("_segment").isNull(), F.col("_template")).otherwise(grown)).drop("_literal", "_segment")
-        paths = checkpoint(paths)
-    deeper = F.size("_segments") > depth
-    template = F.when(deeper, F.concat("_template", F.lit("/**"))).otherwise(F.col("_template"))
-    return paths.select("_host", "_path", "n", "n_labelled", "n_bad", template.alias("_template"))
+    # Each level uses the one before several times, so lineage is cut at each.
+    open_ = checkpoint(paths.withColumn("_segments", F.slice(F.split("_path", "/"), 2, 1 << 20)).withColumn("_template", F.lit("")))
+    place = F.xxhash64("_host", "_path")
+    out, level = [], 0
+    while True:
+        done = F.size("_segments") <= level
+        out.append(open_.filter(done))
+        there = open_.filter(~done).withColumn("_segment", F.get("_segments", F.lit(level)))
+        nodes = checkpoint(there.groupBy("_host", "_template", "_segment").agg(F.sum("n").alias("_n"), F.count("*").alias("_paths")))
+        if nodes.isEmpty():
+            break
+        parents = nodes.groupBy("_host", "_template").agg(F.count("*").alias("_children"), F.count("*").alias("_rows"), F.sum("_n").alias("_all"), F.sum("_paths").alias("_open"))
+        of_parent = _joined(nodes, checkpoint(parents), ["_host", "_template"], "_rows", F.xxhash64("_segment"))
+        literal = (F.col("_children") <= max_children) | (F.col("_n") >= F.col("_all") * min_share)
+        verdicts = checkpoint(of_parent.select("_host", "_template", "_segment", "_paths", literal.alias("_literal"), (F.col("_open") == 1).alias("_alone")))
+        grown = _joined(there, verdicts, ["_host", "_template", "_segment"], "_paths", place)
+        own = F.when(F.col("_alone"), F.array_join(F.slice("_segments", level + 1, 1 << 20), "/")).when(F.col("_literal"), F.col("_segment")).otherwise("*")
+        grown = grown.withColumn("_template", F.concat("_template", F.lit("/"), own))
+        # A path that is alone needs no further level.
+        grown = grown.withColumn("_segments", F.when(F.col("_alone"), F.slice("_segments", 1, level + 1)).otherwise(F.col("_segments")))
+        open_ = checkpoint(grown.drop("_segment", "_literal", "_alone"))
+        level += 1
+    return reduce(DataFrame.unionByName, out).select("_host", "_path", "n", "n_labelled", "n_bad", "_template")
 
 
 def template_verdicts(paths: DataFrame, weight: float = 10.0, reject: float = 0.7) -> DataFrame:
-    """_host, _template, purity, rejected: from the paths with their templates."""
-    shape = F.array_join(F.transform(F.split("_template", "/"), lambda x: F.when((x == "*") | (x == "**") | (x == ""), x).otherwise("?")), "/")
+    """_host, _template, _paths (their number), purity, rejected: from the paths with their templates."""
+    shape = F.array_join(F.transform(F.split("_template", "/"), lambda x: F.when((x == "*") | (x == ""), x).otherwise("?")), "/")
     branches = paths.groupBy("_host", "_template").agg(F.sum("n").alias("n"), F.count("*").alias("_paths"), F.sum("n_labelled").alias("n_labelled"), F.sum("n_bad").alias("n_bad"))
     branches = checkpoint(branches.withColumn("_shape", shape))
-    shapes = branches.groupBy("_host", "_shape").agg((F.sum("_paths") / F.sum("n")).alias("_share"))
-    total = branches.agg((F.sum("n_bad") / F.greatest(F.sum("n_labelled"), F.lit(1))).alias("_overall"))
+    total = branches.agg(F.sum("n_bad").alias("bad"), F.sum("n_labelled").alias("labelled")).first()
+    overall = (total["bad"] or 0) / max(total["labelled"] or 0, 1)
+    place = F.xxhash64("_host", "_template")
+    shapes = checkpoint(branches.groupBy("_host", "_shape").agg((F.sum("_paths") / F.sum("n")).alias("_share"), F.count("*").alias("_rows")))
     near = F.abs(F.col("_paths") / F.col("n") - F.col("_share")) <= 3 * F.sqrt(F.col("_share") * (1 - F.col("_share")) / F.col("n")) + 1 / F.col("n")
-    groups = branches.join(shapes, ["_host", "_shape"]).withColumn("_group", F.when(near, F.col("_shape")).otherwise(F.concat(F.lit("="), F.col("_template"))))
-    merged = groups.groupBy("_host", "_group").agg(F.sum("n").alias("_n"), F.sum("n_labelled").alias("_labelled"), F.sum("n_bad").alias("_bad"))
-    out = groups.select("_host", "_template", "_group").join(merged, ["_host", "_group"]).crossJoin(F.broadcast(total))
-    purity = (F.col("_bad") + weight * F.col("_overall")) / (F.col("_labelled") + weight)
-    return out.select("_host", "_template", purity.alias("purity"), ((F.col("_labelled") * 2 >= F.col("_n")) & (purity >= reject)).alias("rejected"))
+    groups = _joined(branches, shapes, ["_host", "_shape"], "_rows", place).withColumn("_group", F.when(near, F.col("_shape")).otherwise(F.concat(F.lit("="), F.col("_template"))))
+    groups = checkpoint(groups)
+    merged = checkpoint(groups.groupBy("_host", "_group").agg(F.sum("n").alias("_n"), F.sum("n_labelled").alias("_labelled"), F.sum("n_bad").alias("_bad"), F.count("*").alias("_rows")))
+    out = _joined(groups.select("_host", "_template", "_group", "_paths"), merged, ["_host", "_group"], "_rows", place)
+    purity = (F.col("_bad") + weight * overall) / (F.col("_labelled") + weight)
+    return out.select("_host", "_template", "_paths", purity.alias("purity"), ((F.col("_labelled") * 2 >= F.col("_n")) & (purity >= reject)).alias("rejected"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", labels: str | None = None) -> DataFrame:
     """The rows of pages with host, path, rule, verdict ("allow" or "block"), template and purity (clashing columns are
     dropped). rules: pairs of verdict and rule. labels: a boolean column, true for bad pages, instead of the rules'."""
-    made = ["host", "path", "rule", "verdict", "template", "purity", "label", "_host", "_path", "_template", "_salt"]
+    made = ["host", "path", "rule", "verdict", "template", "purity", "label", "rejected", "_host", "_path", "_template", "_salt", "_salts", "_n", "_rule_verdict"]
     rows = pages.drop(*(c for c in made if c not in (url, labels)))
     host, path = host_and_path(F.col(url))
     verdict_of = F.create_map(*(F.lit(x) for v, r in rules for x in (r, v))) if rules else F.create_map().cast("map<string,string>")
@@ -99,8 +112,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url",
     rows = rows.withColumn("_rule_verdict", F.get(F.array(F.element_at(verdict_of, F.col("rule"))), F.lit(0)))
     label = F.col(labels) if labels else F.col("_rule_verdict") == "block"
     paths = templates(rows.select("host", "path", label.alias("label")), "host", "path")
-    known = paths.select("_host", "_path", "_template").withColumn("_salt", F.xxhash64("_host", "_path").bitwiseAND(SALTS - 1))
-    judged = known.join(_salted(template_verdicts(paths)), ["_host", "_template", "_salt"]).select("_host", "_path", "_template", "purity", "rejected")
-    out = rows.join(judged, (rows["host"] == judged["_host"]) & (rows["path"] == judged["_path"]), "left")
+    paths = checkpoint(paths)
+    judged = _joined(paths.select("_host", "_path", "_template", F.col("n").alias("_n")), checkpoint(template_verdicts(paths)), ["_host", "_template"], "_paths", F.xxhash64("_path"))
+    judged = checkpoint(judged).withColumnsRenamed({"_host": "host", "_path": "path"})
+    # Rows of one url are told apart by their other columns.
+    plain = [c for c in rows.columns if not isinstance(rows.schema[c].dataType, (T.MapType, T.VariantType))]
+    out = _joined(rows, judged, ["host", "path"], "_n", F.xxhash64(*plain), "left")
     by_method = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumn("verdict", F.coalesce("_rule_verdict", by_method)).withColumn("template", F.col("_template")).drop("_rule_verdict", "rejected", "_host", "_path", "_template", "_salt")
+    return out.withColumn("verdict", F.coalesce("_rule_verdict", by_method)).withColumn("template", F.col("_template")).drop("_rule_verdict", "rejected", "_template")
