@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raterlake.llm import bpe, decontam, jaccard, licenses, linededup, passages, pii, quality, secrets, urlfilter
 
-#: The tokenizer's vocabulary; the folder is a setting.
-VOCABULARY = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
+#: The tokenizer's vocabulary.
+VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
