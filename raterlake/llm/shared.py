@@ -52,6 +52,8 @@ def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder as a table and read again: smaller than a checkpoint, and read by columns."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
+    # The shuffle files behind it are deleted once the driver's JVM has collected what names them.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -79,6 +81,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of one or many groups of rows with equal keys (without nulls), none of which is cut, of batches that come sorted by keys."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy() for k in keys]
+        same = np.logical_and.reduce([v == v[-1] for v in values])
+        cut = batch.num_rows - int(same[::-1].argmin() or batch.num_rows) if not same.all() else 0
+        if cut or (rest and any(rest[-1].column(k)[-1].as_py() != v[-1] for k, v in zip(keys, values, strict=True))):
+            if parts := [*rest, *([batch.slice(0, cut)] if cut else [])]:
+                yield pa.Table.from_batches(parts)
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of the rows with equal keys (without nulls), of batches that come sorted by keys."""
     rest: list[pa.Table] = []
