@@ -57,6 +57,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bytes of a bitmap with the bit pmod(column, bits) of each value set. Its size is the caller's, whatever the rows; a full one tells less."""
+    place = F.pmod(F.col(column), F.lit(bits)) + 1
+    parts = df.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    out = np.zeros(-(-bits // 32768) * 4096, np.uint8)
+    for part in parts:
+        out[(part["k"] - 1) * 4096 : part["k"] * 4096] = np.frombuffer(bytes(part["bits"]), np.uint8)
+    return out
+
+
+def in_bitmap(bitmap_: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the bit of each value (int64; bits: a power of 2) is set."""
+    place = values & (bits - 1)
+    return bitmap_[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: the smallest node connected with each node of the edges (long, without nulls).
 
