@@ -73,3 +73,12 @@ def pearson(a: Column, b: Column) -> Column:
     top = n * dot(a, b) - total(a) * total(b)
     bottom = F.sqrt(n * dot(a, a) - F.pow(total(a), 2)) * F.sqrt(n * dot(b, b) - F.pow(total(b), 2))
     return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
+
+
+def key_of(a: Column) -> Column:
+    """One key of several parts."""
+    return F.array_join(a, "_")
+
+
+def quoted(a: Column, sep: str = ",") -> Column:
+    return F.array_join(F.transform(a, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), sep)

@@ -109,3 +109,23 @@ def metric_of_policy(policy: Column) -> Column:
 
 def higher_is_better(metric: Column) -> Column:
     return ~F.lower(metric).rlike("loss|mse|error")
+
+
+def is_user_dim(name: Column, setting: Column) -> Column:
+    """Whether a dimension's name and an even setting say that it is the raters'."""
+    return (name.startswith("u") | name.startswith("cl")) & (setting % 2 == 0)
+
+
+def is_item_dim(name: Column, setting: Column) -> Column:
+    """Whether a dimension's name and an odd setting say that it is the items'."""
+    return (name.startswith("i") | name.startswith("sa") | name.startswith("da")) & (setting % 2 == 1)
+
+
+def select_k(n: Column, k: float) -> Column:
+    """A share of n rounded up for k between 0 and 1, else k or n, whichever is less."""
+    return (F.ceil(n * k) if 0 < k < 1 else F.least(F.lit(int(k)), n)).cast("int")
+
+
+def scope(x: Column, low: float, high: float) -> Column:
+    """below, within or above two bounds, which are within."""
+    return F.when(x < low, "below").when(x > high, "above").otherwise("within")

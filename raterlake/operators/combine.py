@@ -118,3 +118,15 @@ def mean_centered_observed(ratings: DataFrame) -> DataFrame:
     """Scores less their item's mean over the raters who gave one."""
     w = Window.partitionBy("item_id")
     return ratings.withColumn("normal", F.col("prediction") - F.sum("prediction").over(w) / (F.count("prediction").over(w) + 1e-12))
+
+
+def scaled_by(rows: DataFrame, fitted_on: DataFrame, by: str = "user_id") -> DataFrame:
+    """Scores scaled by the least and largest ones of other rows; 0 where those are equal."""
+    bounds = fitted_on.groupBy(by).agg(F.min("prediction").alias("_lo"), F.max("prediction").alias("_hi"))
+    scaled = F.coalesce(F.try_divide(F.col("prediction") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    return rows.join(bounds, by).withColumn("scaled", scaled).drop("_lo", "_hi")
+
+
+def places(counts: DataFrame, score: str, key: str) -> DataFrame:
+    """Adds place (long): 1 for the largest score, smaller keys first; for short tables such as counts of codes."""
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc(score), key)).cast("long"))

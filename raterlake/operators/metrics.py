@@ -12,20 +12,31 @@ from pyspark.sql import functions as F
 from raterlake.functions import scalar
 
 
+#: Scores of a level are cumulated together, and levels after that, so no rater's scores are sorted in one task.
+LEVELS = 256
+
+
 def curve(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """For each distinct score as a threshold: n_pred, tp, fp, and the totals n_pos, n_neg."""
-    each = scored.groupBy(*keys, F.col("prediction").alias("threshold")).agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    return each.select(
-        *keys,
-        "threshold",
-        F.sum("n").over(down).alias("n_pred"),
-        F.sum("p").over(down).alias("tp"),
-        (F.sum("n").over(down) - F.sum("p").over(down)).alias("fp"),
-        F.sum("p").over(whole).alias("n_pos"),
-        (F.sum("n").over(whole) - F.sum("p").over(whole)).alias("n_neg"),
-    )
+    """For each distinct score as a threshold: its own n and p (positives), n_pred, tp, fp, and the totals n_pos, n_neg. Null scores are skipped."""
+    each = scored.filter("prediction is not null").groupBy(*keys, _level("prediction"), F.col("prediction").alias("threshold")).agg(F.count("*").alias("n"), F.sum("label").alias("p"))
+    return _cumulated(each, keys)
+
+
+def _level(score: str) -> Column:
+    return F.floor(F.col(score) * LEVELS).alias("_level")
+
+
+def _cumulated(each: DataFrame, keys: list[str]) -> DataFrame:
+    """The curve of rows that hold, for each key, n and p of each distinct threshold, and its _level."""
+    # Running sums in two steps: over the few levels of a key, then within each level.
+    above, whole = Window.partitionBy(*keys).orderBy(F.desc("_level")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    levels = each.groupBy(*keys, "_level").agg(F.sum("n").alias("_n"), F.sum("p").alias("_p"))
+    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    levels = levels.select(*keys, "_level", before("_n").alias("_n_above"), before("_p").alias("_p_above"), F.sum("_p").over(whole).alias("n_pos"), (F.sum("_n").over(whole) - F.sum("_p").over(whole)).alias("n_neg"))
+    down = Window.partitionBy(*keys, "_level").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    n_pred, tp = F.col("_n_above") + F.sum("n").over(down), F.col("_p_above") + F.sum("p").over(down)
+    rows = each.join(levels, [*keys, "_level"]).withColumn("n_pred", n_pred).withColumn("tp", tp)
+    return rows.select(*keys, "threshold", "n", "p", "n_pred", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), "n_pos", "n_neg")
 
 
 def _best(points: DataFrame, keys: list[str], score: Column, name: str) -> DataFrame:
@@ -90,11 +101,13 @@ def thresholds(scored: DataFrame, keys: list[str], policy: str = "fmax") -> Data
 
 def auc(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the ROC curve by the trapezoid rule over distinct scores; null with one class only."""
-    points = curve(scored, keys)
-    before = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    area = (F.col("fp") - F.coalesce(F.lag("fp").over(before), F.lit(0))) * (F.col("tp") + F.coalesce(F.lag("tp").over(before), F.lit(0))) / 2.0
-    points = points.withColumn("_area", area)
-    return points.groupBy(*keys).agg(F.try_divide(F.sum("_area"), F.max(F.col("n_pos") * F.col("n_neg"))).cast("double").alias("auc"))
+    return _areas(curve(scored, keys), keys)
+
+
+def _areas(points: DataFrame, keys: list[str]) -> DataFrame:
+    # Between a threshold and the one above lie the score's own rows.
+    area = F.sum((F.col("n") - F.col("p")) * (2 * F.col("tp") - F.col("p")) / 2.0)
+    return points.groupBy(*keys).agg(F.try_divide(area, F.max(F.col("n_pos") * F.col("n_neg"))).cast("double").alias("auc"))
 
 
 def losses(scored: DataFrame, keys: list[str], epsilon: float = 1e-15) -> DataFrame:
@@ -163,3 +176,54 @@ def performance(scored: DataFrame, keys: list[str]) -> DataFrame:
     for part in (best, auc(scored, keys), losses(scored, keys)):
         out = out.join(part, keys) if keys else out.crossJoin(part)
     return out
+
+
+def best_f_by_class(scored: DataFrame, keys: list[str], steps: int = 20) -> DataFrame:
+    """For each key and class (1 and 0) the grid threshold with the largest F1 and the one with the largest balanced accuracy (the
+    lowest among equals): keys, class, f1, f1_threshold, balanced_accuracy, balanced_threshold."""
+    g = grid(scored, keys, 1.0 / steps, steps)
+    c = {k: F.col(k).cast("double") for k in ("tp", "tn", "fp", "fn")}
+    one = F.try_divide(2 * c["tp"], 2 * c["tp"] + c["fp"] + c["fn"])
+    zero = F.try_divide(2 * c["tn"], 2 * c["tn"] + c["fn"] + c["fp"])
+    balanced = (F.try_divide(c["tp"], c["tp"] + c["fn"]) + F.try_divide(c["tn"], c["tn"] + c["fp"])) / 2
+    both = g.select(*keys, "threshold", F.explode(F.array(F.struct(F.lit(1).alias("class"), one.alias("f1")), F.struct(F.lit(0).alias("class"), zero.alias("f1")))).alias("x"), balanced.alias("b"))
+    rows = both.select(*keys, "threshold", "x.class", F.round(F.coalesce("x.f1", F.lit(0.0)), 9).alias("f1"), F.round("b", 9).alias("b"))
+    low = -F.col("threshold")
+    best = rows.groupBy(*keys, "class").agg(F.max(F.struct("f1", low.alias("t"))).alias("f"), F.max(F.struct("b", low.alias("t"))).alias("g"))
+    return best.select(*keys, "class", "f.f1", (-F.col("f.t")).alias("f1_threshold"), F.col("g.b").alias("balanced_accuracy"), (-F.col("g.t")).alias("balanced_threshold"))
+
+
+def equal_error_rate(scored: DataFrame, keys: list[str], steps: int = 1000) -> DataFrame:
+    """The first of equally spaced thresholds at which fewer negatives pass than positives fail, and the mean of both rates there."""
+    g = grid(scored, keys, 1.0 / steps, steps)
+    fpr = F.try_divide(F.col("fp").cast("double"), F.col("fp") + F.col("tn"))
+    fnr = F.try_divide(F.col("fn").cast("double"), F.col("fn") + F.col("tp"))
+    rows = g.withColumn("eer", (fpr + fnr) / 2).filter(fpr < fnr)
+    return rows.groupBy(*keys).agg(F.min("threshold").alias("eer_threshold"), F.min_by("eer", "threshold").alias("eer"))
+
+
+def macro_auc(scored: DataFrame, target: str) -> DataFrame:
+    """class, auc (of the score for this class against all others) and macro, their mean."""
+    classes = scored.select(F.col(target).alias("class")).distinct()
+    # Each row counts once for each class, of which there are few: per class, rows are its own against the totals of each score.
+    total = scored.groupBy("prediction").agg(F.count("*").alias("_all"))
+    own = scored.groupBy(F.col(target).alias("class"), "prediction").agg(F.count("*").alias("_own"))
+    rows = total.crossJoin(F.broadcast(classes)).join(own, ["class", "prediction"], "left").na.fill(0, ["_own"])
+    each = rows.select("class", _level("prediction"), F.col("prediction").alias("threshold"), F.col("_all").alias("n"), F.col("_own").alias("p"))
+    out = _areas(_cumulated(each, ["class"]), ["class"])
+    return out.withColumn("macro", F.avg("auc").over(Window.partitionBy()))
+
+
+def anomaly_threshold(scored: DataFrame, steps: int = 1000) -> DataFrame:
+    """One row: of steps thresholds between the least and the largest score the one below which calling rows positive gives the largest F1
+    (the first among equals)."""
+    bounds = scored.agg(F.min("prediction").alias("_lo"), F.max("prediction").alias("_hi"), F.sum("label").alias("_pos"))
+    rows = scored.crossJoin(F.broadcast(bounds))
+    # A row is below the k-th threshold from some k on, so rows are counted by that k.
+    first = (F.floor((F.col("prediction") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / steps) + 1e-9) + 1).cast("long")
+    counts = rows.groupBy(first.alias("k"), "_lo", "_hi", "_pos").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
+    up = Window.partitionBy("_lo", "_hi", "_pos").orderBy("k")
+    rows = counts.withColumn("n", F.sum("n").over(up)).withColumn("p", F.sum("p").over(up)).filter(F.col("k") < steps)
+    f1 = F.round(2.0 * F.col("p") / (F.col("n") + F.col("_pos")), 9)
+    epsilon = F.col("_lo") + F.col("k") * (F.col("_hi") - F.col("_lo")) / steps
+    return rows.withColumn("f1", f1).withColumn("epsilon", epsilon).agg(F.max("f1").alias("f1"), F.max_by("epsilon", F.struct("f1", -F.col("k"))).alias("epsilon"))

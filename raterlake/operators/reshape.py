@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,15 @@ def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 def label_agreement(ratings: DataFrame) -> DataFrame:
     """Items whose raters' rows hold more than one label; none in a consistent relation."""
     return ratings.groupBy("item_id").agg(F.count_distinct("label").alias("labels")).filter("labels > 1")
+
+
+def label_matrix(ratings: DataFrame) -> DataFrame:
+    """Each cell with its item's label as the rating."""
+    return ratings.select("user_id", "item_id", F.col("label").alias("rating"), "split")
+
+
+def class_codes(df: DataFrame, column: str, target: str) -> DataFrame:
+    """Adds is_target (0/1), and code: the class's number from 0 in the order of its names (classes are few)."""
+    classes = df.select(column).distinct()
+    codes = classes.withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+    return df.join(codes, column).withColumn("is_target", (F.col(column) == target).cast("int"))

@@ -558,3 +558,7 @@ def name_parts(spark, sf_dir):
 def scalar_functions(spark, sf_dir):
     p, u = F.col("prediction"), F.col("user_id")
     return W.ratings(spark, sf_dir).select("user_id", "item_id", scalar.clip_probability(p).alias("clipped"), scalar.affinity(p).alias("affinity"), scalar.family(u).alias("family"), scalar.bag(u).alias("bag"))
+
+
+# These modules register their queries here when they are imported.
+from raterlake.plans import filters, reports  # noqa: E402, F401
