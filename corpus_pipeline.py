@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from raterlake.llm import bpe, decontam, jaccard, linededup, quality
 from raterlake.llm.queries import VOCABULARY, table
@@ -46,7 +45,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", tokens),
 ]
 
-#: The stages with token ids and edit distances aren't expressible in SQL; tests compare run() with a brute-force version.
+#: Token ids and edit distances aren't expressible in SQL; tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
