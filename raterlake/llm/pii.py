@@ -51,6 +51,8 @@ _GAP = re.compile(r"[\x20().-]{1,3}")
 
 #: Added to the potential of the label that the base patterns give.
 KNOWN = 8.0
+#: What the couplings of chain and skip edges are before training.
+COUPLINGS = (0.5, 4.0)
 ROUNDS = 12
 #: Nodes further apart than so many characters aren't neighbours of the chain.
 REACH = 2
@@ -278,9 +280,9 @@ def count_patterns(docs: DataFrame, text: str = "text") -> dict[tuple[str, int],
     return {(r["pattern"], r["label"]): r["n"] for r in sorted(rows)}
 
 
-def fit(counts: dict[tuple[str, int], int], steps: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> Field | None:
+def fit(counts: dict[tuple[str, int], int], steps: int = 400, rate: float = 0.1, ridge: float = 1e-4, pull: float = 0.05) -> Field | None:
     """The field that makes the labels likely given features and neighbours (pseudo-likelihood), each pattern with and without its
-    features; None without a labelled node."""
+    features; None without a labelled node. Couplings are pulled to COUPLINGS, so that they stand where a corpus has few repeats."""
     if not any(label for _, label in counts):
         return None
     patterns = [p.split(" ") for p, _ in counts]
@@ -295,10 +297,10 @@ def fit(counts: dict[tuple[str, int], int], steps: int = 400, rate: float = 0.1,
     share = n / np.maximum(np.bincount(y, n, len(LABELS)), 1)[y]
     share /= share.sum()
     views = [(x, share / 2), (np.zeros_like(x), share / 2)]
-    theta = [np.zeros((len(names), len(LABELS))), np.zeros(len(LABELS)), np.zeros(2)]
+    theta = [np.zeros((len(names), len(LABELS))), np.zeros(len(LABELS)), np.array(COUPLINGS)]
     first, second = ([np.zeros_like(t) for t in theta] for _ in range(2))
     for step in range(1, steps + 1):
-        slopes = [-ridge * t for t in theta]
+        slopes = [-ridge * theta[0], -ridge * theta[1], -pull * (theta[2] - COUPLINGS)]
         for own, w in views:
             z = own @ theta[0] + theta[1] + np.tensordot(theta[2], near, (0, 1))
             p = np.exp(z - z.max(1, keepdims=True))

@@ -3,8 +3,8 @@
 The tree is built level by level with aggregates: below a template, a segment stays literal if its parent has at most
 ``max_children`` different segments or the segment holds at least ``min_share`` of the parent's urls; all others become the
 wildcard ``*``. It goes on until no template has two paths with a further segment; the rest of a path that is alone stays literal. Branches of a host that differ in literals only, so with the same
-shape, are merged when they are statistically similar: the share of different paths among a branch's urls lies within
-three standard errors of the shape's. A (merged) template is rejected when at least half of its urls carry a label and its
+shape, are merged when they are statistically similar: the share of different paths among a branch's urls and the bad share of its
+labelled ones lie within three standard errors of the shape's. A (merged) template is rejected when at least half of its urls carry a label and its
 purity, (blocked + weight * overall share) / (labelled + weight), is ``reject`` or more.
 
 Labels are the rules' own verdicts, or a boolean column (true: bad). Defined results: a null url, or one without ``://``, has
@@ -90,8 +90,12 @@ def template_verdicts(paths: DataFrame, weight: float = 10.0, reject: float = 0.
     total = branches.agg(F.sum("n_bad").alias("bad"), F.sum("n_labelled").alias("labelled")).first()
     overall = (total["bad"] or 0) / max(total["labelled"] or 0, 1)
     place = F.xxhash64("_host", "_template")
-    shapes = checkpoint(branches.groupBy("_host", "_shape").agg((F.sum("_paths") / F.sum("n")).alias("_share"), F.count("*").alias("_rows")))
-    near = F.abs(F.col("_paths") / F.col("n") - F.col("_share")) <= 3 * F.sqrt(F.col("_share") * (1 - F.col("_share")) / F.col("n")) + 1 / F.col("n")
+    shapes = checkpoint(branches.groupBy("_host", "_shape").agg((F.sum("_paths") / F.sum("n")).alias("_share"), F.try_divide(F.sum("n_bad"), F.sum("n_labelled")).alias("_rate"), F.count("*").alias("_rows")))
+
+    def close(share: Column, mean: str, n: str) -> Column:
+        return F.abs(share - F.col(mean)) <= 3 * F.sqrt(F.col(mean) * (1 - F.col(mean)) / F.col(n)) + 1 / F.col(n)
+
+    near = close(F.col("_paths") / F.col("n"), "_share", "n") & ((F.col("n_labelled") == 0) | close(F.try_divide("n_bad", "n_labelled"), "_rate", "n_labelled"))
     groups = _joined(branches, shapes, ["_host", "_shape"], "_rows", place).withColumn("_group", F.when(near, F.col("_shape")).otherwise(F.concat(F.lit("="), F.col("_template"))))
     groups = checkpoint(groups)
     merged = checkpoint(groups.groupBy("_host", "_group").agg(F.sum("n").alias("_n"), F.sum("n_labelled").alias("_labelled"), F.sum("n_bad").alias("_bad"), F.count("*").alias("_rows")))
