@@ -87,8 +87,10 @@ def test_passages_of_partial_copies(spark):
     assert 9999 not in {r.doc_id for r in found} and all(r.doc_id // 100 == r.other_id // 100 for r in found)
     # A part may be reported with another part that shares at least 50 words of it.
     assert sum(any(r.doc_id == k and r.start < 60 and r.end - r.start >= 50 for r in found) for k in parts) >= 0.99 * len(parts)
-    longest = {k: max((r.end - r.start for r in found if r.doc_id == k), default=0) for k in whole}
-    assert sum(longest[k] >= 100 for k in whole) >= 0.9 * len(whole)
+    # Unedited copies are found whole; of edited ones (0.77 alike as a whole) a part that is 0.8 alike.
+    for k in whole:
+        own = [r for r in found if r.doc_id == k and r.other_id == k ^ 1]
+        assert any((r.start, r.end) == (50, 210) for r in own) if k // 100 % 2 == 0 else any(r.end - r.start >= 80 for r in own)
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 6, 10, 12, 20, 40, 100])
