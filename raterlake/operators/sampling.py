@@ -51,3 +51,20 @@ def round_robin(df: DataFrame, cluster: str, id_col: str, n: int) -> DataFrame:
     """n rows taken from the clusters by turns."""
     turn = F.row_number().over(Window.partitionBy(cluster).orderBy(id_col))
     return df.withColumn("turn", turn).orderBy("turn", cluster, id_col).limit(n)
+
+
+def class_sample(items: DataFrame, n: int, uniform: bool = False, key: str = "item_id", label: str = "label", seed: int = 7) -> DataFrame:
+    """About n rows: of each class in proportion to its size, or equally many of each (all, where it has fewer)."""
+    sizes = items.groupBy(label).agg(F.count("*").alias("_n"))
+    share = F.lit(n) / F.count("*").over(Window.partitionBy()) if uniform else F.lit(n) * F.col("_n") / F.sum("_n").over(Window.partitionBy())
+    wanted = sizes.select(label, F.round(share).alias("_wanted"))
+    ranks = items.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy(draw(seed, key), key)))
+    return ranks.join(wanted, label).filter(F.col("_k") <= F.col("_wanted")).drop("_k", "_wanted")
+
+
+def fold_and_dev(items: DataFrame, test_fold: int, folds: int, dev_ratio: float, key: str = "item_id", label: str = "label", seed: int = 7) -> DataFrame:
+    """Adds split: test for one fold; of the rest, dev for the share that makes ``dev_ratio`` of all rows, exactly to rounding within each class."""
+    ratio = dev_ratio / (1 - 1 / folds)
+    rest = stratified_split(items.filter(F.col("fold") != test_fold), ratio, seed, key, label)
+    rest = rest.withColumn("split", F.when(F.col("split") == "test", "dev").otherwise("train"))
+    return rest.unionByName(items.filter(F.col("fold") == test_fold).withColumn("split", F.lit("test")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raterlake.functions import arrays
+from raterlake.functions import arrays, scalar
 
 
 def cosine(ratings: DataFrame, of: str = "user_id", over: str = "item_id", value: str = "prediction", epsilon: float = 1e-9) -> DataFrame:
@@ -77,3 +77,47 @@ def unseen(users: DataFrame, items: DataFrame, seen: DataFrame) -> DataFrame:
 
 def vector_similarity(a: Column, b: Column) -> Column:
     return arrays.cosine(a, b)
+
+
+def predict_by_cluster(ratings: DataFrame, similarity: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Each cell from the raters of its own one's cluster (itself included), weighted by similarity. clusters: user_id, cluster."""
+    a, b = (clusters.select(F.col("user_id").alias(x), "cluster") for x in ("a", "b"))
+    near = similarity.join(a, "a").join(b, ["b", "cluster"]).select("a", "b", "similarity")
+    mixed = ratings.withColumnRenamed("user_id", "b").join(near, "b")
+    return mixed.groupBy(F.col("a").alias("user_id"), "item_id").agg(F.try_divide(F.sum(F.col("similarity") * F.col("prediction")), F.sum(F.abs("similarity"))).alias("predicted"))
+
+
+def self_tuning_affinity(distances: DataFrame, k: int) -> DataFrame:
+    """a, b, affinity from a, b, distance: exp(-d^2 / (s_a s_b)), where s is the distance to the k-th neighbour; 0 of a point to itself."""
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
+    scale = distances.filter("a <> b").withColumn("_k", rank).filter(F.col("_k") == k).select("a", F.col("distance").alias("_s"))
+    both = distances.join(scale, "a", "left").join(scale.select(F.col("a").alias("b"), F.col("_s").alias("_t")), "b", "left")
+    near = F.exp(-F.coalesce(F.try_divide(F.col("distance") * F.col("distance"), F.col("_s") * F.col("_t")), F.lit(0.0)))
+    return both.select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(near).alias("affinity"))
+
+
+def neighbor_profile(neighbors: DataFrame, colored: DataFrame) -> DataFrame:
+    """query, and how many cells of its neighbours are true or false positives or negatives, with the share of right ones among each vote
+    (null without such votes)."""
+    cells = neighbors.select("query", F.col("neighbor").alias("item_id")).join(colored.select("item_id", "color"), "item_id")
+    n = lambda color: F.count_if(F.col("color") == color)
+    out = cells.groupBy("query").agg(n(2).alias("tp"), n(1).alias("tn"), n(-2).alias("fp"), n(-1).alias("fn"))
+    right = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(a) + F.col(b))
+    return out.withColumns({"right_positive": right("tp", "fp"), "right_negative": right("tn", "fn")})
+
+
+def labels_by_matching(neighbors: DataFrame, voted: DataFrame, colored: DataFrame) -> DataFrame:
+    """query, exact, distance, predicted: each label gives a query's votes a row of colours, compared with the colours of its neighbours.
+    The label that more neighbours match exactly wins, else the one with fewer differing cells in all, then 1.
+
+    exact and distance are those of the label predicted.
+    """
+    cells = voted.select(F.col("item_id").alias("query"), "user_id", "vote")
+    theirs = colored.select(F.col("item_id").alias("neighbor"), "user_id", "color")
+    pairs = neighbors.select("query", "neighbor").join(cells, "query").join(theirs, ["neighbor", "user_id"])
+    tried = pairs.withColumn("guess", F.explode(F.array(F.lit(1), F.lit(0))))
+    off = F.count_if(F.col("color") != scalar.color(F.col("guess"), F.col("vote"))).alias("off")
+    each = tried.groupBy("query", "neighbor", "guess").agg(off)
+    whole = each.groupBy("query", "guess").agg(F.count_if(F.col("off") == 0).alias("exact"), F.sum("off").alias("distance"))
+    best = F.min(F.struct((-F.col("exact")).alias("e"), F.col("distance").alias("d"), (-F.col("guess")).alias("g")))
+    return whole.groupBy("query").agg(best.alias("m")).select("query", (-F.col("m.e")).alias("exact"), F.col("m.d").alias("distance"), (-F.col("m.g")).alias("predicted"))
