@@ -75,3 +75,52 @@ def kmeans(points: DataFrame, vector: str, k: int, seed: int = 7):
     ready = points.withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     model = KMeans(k=k, seed=seed).fit(ready)
     return model, model.transform(ready).drop("features")
+
+
+def silhouettes(points: DataFrame, vector: str, ks: list[int], seed: int = 7) -> DataFrame:
+    """k, silhouette (squared Euclidean) of k-means for each k. Only one number for each k comes to the driver."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
+    out = []
+    for k in ks:
+        assigned = kmeans(points, vector, k, seed)[1].withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+        out.append((k, float(evaluator.evaluate(assigned))))
+    return points.sparkSession.createDataFrame(out, "k int, silhouette double")
+
+
+def uniform_reference(points: DataFrame, vector: str, seed: int) -> DataFrame:
+    """As many points with each coordinate uniform between the least and the largest of the points; the draws hash the point, its repeats and the
+    coordinate, so they don't depend on partitions."""
+    each = points.select(F.posexplode(vector).alias("pos", "x")).groupBy("pos").agg(F.min(F.col("x").cast("double")).alias("low"), F.max(F.col("x").cast("double")).alias("high"))
+    box = each.agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high"))).alias("_box"))
+    # Equal points are counted, then made anew by number.
+    counted = points.groupBy(F.col(vector).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    draw = lambda b: F.pmod(F.xxhash64("_v", "_i", b["pos"], F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return counted.crossJoin(box).select(F.transform("_box", lambda b: b["low"] + (b["high"] - b["low"]) * draw(b)).alias(vector))
+
+
+def inertia(points: DataFrame, vector: str, k: int, seed: int = 7) -> float:
+    """The sum of squared distances to k-means' centres; for one cluster, to the mean."""
+    if k > 1:
+        return float(kmeans(points, vector, k, seed)[0].summary.trainingCost)
+    each = points.select(F.posexplode(vector).alias("pos", "x")).groupBy("pos").agg((F.var_pop(F.col("x").cast("double")) * F.count("x")).alias("s"))
+    return float(each.agg(F.sum("s")).first()[0] or 0.0)
+
+
+def gap_statistics(points: DataFrame, vector: str, ks: list[int], references: int = 5, seed: int = 7) -> DataFrame:
+    """k, gap, spread, gap_of_mean, chosen: the mean log inertia of uniform references less that of the points, and its spread times
+    sqrt(1 + 1 / references); the same with the log of the mean inertia, and whether that is the largest of all (the smallest k among equals)."""
+    import math
+
+    log_inertia = lambda df, k: math.log(max(inertia(df, vector, k, seed), 1e-300))
+    made = [uniform_reference(points, vector, seed + r) for r in range(references)]
+    rows = []
+    for k in ks:
+        logs, own = [log_inertia(df, k) for df in made], log_inertia(points, k)
+        mean = sum(logs) / references
+        spread = math.sqrt(sum((x - mean) ** 2 for x in logs) / references * (1 + 1 / references))
+        rows.append((k, mean - own, spread, math.log(sum(map(math.exp, logs)) / references) - own))
+    chosen = max(rows, key=lambda r: (r[3], -r[0]))[0]
+    return points.sparkSession.createDataFrame([(*r, r[0] == chosen) for r in rows], "k int, gap double, spread double, gap_of_mean double, chosen boolean")

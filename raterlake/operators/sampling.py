@@ -68,3 +68,18 @@ def fold_and_dev(items: DataFrame, test_fold: int, folds: int, dev_ratio: float,
     rest = stratified_split(items.filter(F.col("fold") != test_fold), ratio, seed, key, label)
     rest = rest.withColumn("split", F.when(F.col("split") == "test", "dev").otherwise("train"))
     return rest.unionByName(items.filter(F.col("fold") == test_fold).withColumn("split", F.lit("test")))
+
+
+def weighted_choice(df: DataFrame, keys: list[str], weight: str, id_col: str, seed: int = 7) -> DataFrame:
+    """One row of each group, drawn in proportion to the weights; rows without a positive weight are never drawn."""
+    # The least of exponential draws with these rates; a draw of 0 is moved off 0.
+    wait = -F.ln(1 - draw(seed, *keys, id_col)) / F.col(weight)
+    best = df.filter(F.col(weight) > 0).groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(wait, F.col(id_col))).alias("_r"))
+    return best.select("_r.*")
+
+
+def bootstrap_with_rest(df: DataFrame, key: str, repetitions: int, seed: int = 7) -> DataFrame:
+    """Adds repetition and times: how often each row takes part in each repetition; rows with 0 are out of the bag."""
+    u = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col("repetition"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    times = sum((u >= c).cast("int") for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582))
+    return df.withColumn("repetition", F.explode(F.sequence(F.lit(1), F.lit(repetitions)))).withColumn("times", times)

@@ -121,3 +121,15 @@ def labels_by_matching(neighbors: DataFrame, voted: DataFrame, colored: DataFram
     whole = each.groupBy("query", "guess").agg(F.count_if(F.col("off") == 0).alias("exact"), F.sum("off").alias("distance"))
     best = F.min(F.struct((-F.col("exact")).alias("e"), F.col("distance").alias("d"), (-F.col("guess")).alias("g")))
     return whole.groupBy("query").agg(best.alias("m")).select("query", (-F.col("m.e")).alias("exact"), F.col("m.d").alias("distance"), (-F.col("m.g")).alias("predicted"))
+
+
+def labels_by_rank(neighbors: DataFrame, colored: DataFrame, n: int = 3) -> DataFrame:
+    """query, predicted: the label that most of the n neighbours with the lowest entropy of colours have, 1 among equals. Entropies are compared
+    with six digits, smaller ids first among equals."""
+    counts = colored.groupBy("item_id", "color").agg(F.count("*").alias("n"), F.max("label").alias("label"))
+    # Of the counts c of an item's N cells, the entropy is ln N - sum(c ln c) / N.
+    entropy = F.round(F.ln(F.sum("n")) - F.sum(F.col("n") * F.ln("n")) / F.sum("n"), 6) + 0.0
+    items = counts.groupBy(F.col("item_id").alias("neighbor")).agg(entropy.alias("entropy"), F.max("label").alias("label"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("entropy", "neighbor"))
+    top = neighbors.select("query", "neighbor").join(items, "neighbor").withColumn("_k", rank).filter(F.col("_k") <= n)
+    return top.groupBy("query").agg((F.avg("label") >= 0.5).cast("int").alias("predicted"))

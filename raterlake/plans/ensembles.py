@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from raterlake.operators import ensembles, metrics, sampling, selection, similarity
+from raterlake.operators import cluster, ensembles, metrics, sampling, selection, similarity
 from raterlake.plans import workload as W
 from raterlake.plans.queries import _C, _KNN, _R, query
 from raterlake.plans.workload import with_ctes
@@ -183,3 +183,24 @@ def class_samples(spark, sf_dir):
     samples = [sampling.class_sample(items, 100, uniform).withColumn("sample", F.lit(name)) for name, uniform in (("proportional", False), ("uniform", True))]
     split = sampling.fold_and_dev(items, 0, 5, 0.2).withColumnRenamed("split", "sample")
     return samples[0].unionByName(samples[1]).unionByName(split.select(samples[0].columns)).groupBy("sample", "label").agg(F.count("*").alias("n"))
+
+
+@query(
+    with_ctes(*_C)
+    + _NEAR
+    + """, k AS (SELECT item_id, color, count(*) AS c, max(label) AS label FROM colored GROUP BY 1, 2),
+h AS (SELECT item_id, round(ln(sum(c)) - sum(c * ln(c)) / sum(c), 6) + 0.0 AS entropy, max(label) AS label FROM k GROUP BY 1)
+SELECT query, CAST(avg(label) >= 0.5 AS INT) AS predicted FROM (SELECT query, label, row_number() OVER (PARTITION BY query ORDER BY entropy, item_id) AS i FROM near JOIN h ON neighbor = item_id) WHERE i <= 3 GROUP BY query"""
+)
+def neighbor_rank_labels(spark, sf_dir):
+    return similarity.labels_by_rank(_near(spark, sf_dir), W.colored(spark, sf_dir))
+
+
+@query()
+def silhouette_by_k(spark, sf_dir):
+    return cluster.silhouettes(W.table(spark, sf_dir, "embeddings"), "embedding", [2, 4, 8])
+
+
+@query()
+def gap_by_k(spark, sf_dir):
+    return cluster.gap_statistics(W.table(spark, sf_dir, "embeddings").select("embedding"), "embedding", [2, 4, 8], references=2)

@@ -71,3 +71,42 @@ def count_matrix(spark: SparkSession, path: str, users: int, items: int) -> Data
     rows = spark.read.csv(path, sep="\t", schema="user int, item int, n double").filter((F.col("user") < users) & (F.col("item") < items))
     total = rows.agg(((F.lit(users * items) - F.count("*")) / F.sum("n")).alias("alpha"))
     return rows.crossJoin(F.broadcast(total)).select("user", "item", "n", (F.col("n") * F.col("alpha")).alias("confidence"))
+
+
+def reindexed(catalogue: DataFrame) -> DataFrame:
+    """method, file_type, index, number: indices of each method's files numbered anew from 0 without gaps."""
+    return catalogue.select("method", "file_type", F.posexplode("indices").alias("number", "index"))
+
+
+def resolve(catalogue: DataFrame, method: str, file_type: str) -> list[int]:
+    """Indices of the one method whose name begins so; ValueError if none or several do."""
+    found = catalogue.filter(F.startswith("method", F.lit(method)) & (F.col("file_type") == file_type)).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{'several methods' if found else 'no method'} named {method}* with files of type {file_type}")
+    return list(found[0]["indices"])
+
+
+def write_estimates(ratings: DataFrame, path: str, method: str, kind: str, mode: str = "append") -> None:
+    """Prior or posterior ratings (the kind) of a method, partitioned so that reads of one method, kind, fold and split touch its files only."""
+    rows = ratings.withColumns({"method": F.lit(method), "kind": F.lit(kind)})
+    rows.write.mode(mode).partitionBy("method", "kind", "fold", "split").parquet(path)
+
+
+def read_estimates(spark: SparkSession, path: str, method: str, kind: str, fold: int | None = None, split: str | None = None) -> DataFrame:
+    """What write_estimates wrote of a method and kind, of one fold and split if given."""
+    rows = spark.read.parquet(path).filter((F.col("method") == method) & (F.col("kind") == kind))
+    rows = rows if fold is None else rows.filter(F.col("fold") == fold)
+    return (rows if split is None else rows.filter(F.col("split") == split)).drop("method", "kind")
+
+
+def prior_and_posterior(spark: SparkSession, path: str, method: str, fold: int) -> DataFrame:
+    """Cells of one fold with both estimates: user_id, item_id, label, split, prior, posterior. The split is the prior's."""
+    prior, posterior = (read_estimates(spark, path, method, kind, fold) for kind in ("prior", "posterior"))
+    both = prior.withColumnRenamed("prediction", "prior").join(posterior.select("user_id", "item_id", F.col("prediction").alias("posterior")), ["user_id", "item_id"])
+    return both.select("user_id", "item_id", "label", "split", "prior", "posterior")
+
+
+def with_preferences(ratings: DataFrame, preferences: DataFrame) -> DataFrame:
+    """Ratings, and beside them preferences as further users: kind is rating or preference."""
+    p = preferences.select("user_id", "item_id", F.col("preference").cast("double").alias("prediction"), "label")
+    return ratings.select("user_id", "item_id", "prediction", "label").withColumn("kind", F.lit("rating")).unionByName(p.withColumn("kind", F.lit("preference")))
