@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ def duck(sf_dir=SF):
 
 
 def _value(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "null"
     if hasattr(v, "tolist"):
         v = v.tolist()
