@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterlake.llm import bpe, decontam, jaccard, licenses, linededup, passages, pii, quality, secrets, urlfilter
+from raterlake.llm import bpe, decontam, importance, jaccard, licenses, linededup, passages, pii, quality, secrets, tokenfiles, urlfilter, vectorcodes
+from raterlake.llm.shared import shared_folder
 
 #: The tokenizer's vocabulary.
 VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
+#: The vocabulary of op13, whose tokenizer drops white space.
+WORD_VOCABULARY = str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +72,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, and rank of the documents drawn for the benchmark's distribution of words."""
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, max_n=1, buckets=10_000, keep=["doc_id"])
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vectorcodes.encode_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32, from the files read back."""
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4()}"
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents"), folder, WORD_VOCABULARY, end=1, by_word=True)
+    return tokenfiles.read_tokens(spark, folder, with_ids=False)
+
+
 #: Fixed rules of op9.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -82,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
+    "op11_importance": op11_importance,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_files": op13_token_files,
 }
 
 _LINES = """
@@ -167,5 +192,62 @@ reach AS (
   SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
+""",
+    "op11_importance": r"""
+WITH RECURSIVE steps AS (
+  SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, xor(c >> 1, 3988292384 * (c & 1)), k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+texts AS (SELECT true AS corpus, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+ws AS (
+  SELECT corpus, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM texts),
+counted AS (SELECT corpus, id, w, count(*) AS n FROM (SELECT corpus, id, unnest(ws) AS w FROM ws) GROUP BY ALL),
+hashed AS (
+  SELECT w, xor(list_reduce(list_transform(range(1, strlen(w) + 1), lambda i: CAST('0x' || substr(hex(w), 2 * i - 1, 2) AS BIGINT)),
+                            lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM counted), crc),
+features AS (SELECT corpus, id, bucket, sum(n) AS n FROM counted JOIN hashed USING (w) GROUP BY ALL),
+tallies AS (
+  SELECT bucket, coalesce(sum(n) FILTER (corpus), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT corpus), 0)::DOUBLE AS t FROM features GROUP BY bucket),
+sums AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM tallies),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM tallies, sums),
+weights AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM features JOIN gains USING (bucket) WHERE corpus GROUP BY id),
+scored AS (
+  SELECT ws.id AS doc_id, len(ws.ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || ws.id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM ws LEFT JOIN weights USING (id) WHERE ws.corpus),
+ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranks USING (doc_id)
+""",
+    "op12_vector_codes": """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, p, v[4 * p + 1:4 * p + 4] AS v FROM kept, range(16) t(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, v FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+a1 AS (
+  SELECT vec_id, label, p, v, min(row(d, k)) AS best FROM (
+    SELECT vec_id, label, parts.p, parts.v, b.k, list_sum(list_transform(list_zip(parts.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts JOIN b0 b USING (p)) GROUP BY ALL),
+b1 AS (
+  SELECT b.p, b.k, coalesce(m.v, b.v) AS v FROM b0 b LEFT JOIN (
+    SELECT p, best[2] AS k, [floor(sum(v[1]) / count(*)), floor(sum(v[2]) / count(*)), floor(sum(v[3]) / count(*)), floor(sum(v[4]) / count(*))]::BIGINT[] AS v
+    FROM a1 GROUP BY ALL) m ON m.p = b.p AND m.k = b.k),
+a2 AS (
+  SELECT vec_id, label, p, v, min(row(d, k)) AS best FROM (
+    SELECT vec_id, label, parts.p, parts.v, b.k, list_sum(list_transform(list_zip(parts.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts JOIN b1 b USING (p)) GROUP BY ALL),
+b2 AS (
+  SELECT b.p, b.k, coalesce(m.v, b.v) AS v FROM b1 b LEFT JOIN (
+    SELECT p, best[2] AS k, [floor(sum(v[1]) / count(*)), floor(sum(v[2]) / count(*)), floor(sum(v[3]) / count(*)), floor(sum(v[4]) / count(*))]::BIGINT[] AS v
+    FROM a2 GROUP BY ALL) m ON m.p = b.p AND m.k = b.k),
+a3 AS (
+  SELECT vec_id, label, p, v, min(row(d, k)) AS best FROM (
+    SELECT vec_id, label, parts.p, parts.v, b.k, list_sum(list_transform(list_zip(parts.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts JOIN b2 b USING (p)) GROUP BY ALL),
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM a3 GROUP BY vec_id, label),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, books
 """,
 }
