@@ -37,6 +37,10 @@ from raterlake.llm import text, words
 FRAME = 1 << 18
 #: Bytes of texts encoded at a time, and distinct words whose ids a worker remembers.
 BLOCK, CACHE = 1 << 22, 1 << 20
+#: Words encoded at once.
+LINE = 1000
+#: Tokens that a task of the reader has to do with.
+TASK = 16 * FRAME
 #: Ids that one call of the reader looks up: they go to all tasks.
 LOOKUPS = 100_000
 
@@ -47,12 +51,19 @@ _CHECKSUMS = 0x80
 #: An entry of the documents' index: documents, tokens, first and last id, nulls among the ids.
 _ENTRY = np.dtype([("docs", "<u8"), ("tokens", "<u8"), ("first", "<i8"), ("last", "<i8"), ("nulls", "<u8")])
 
+#: Kinds of bytes between which a word-by-word tokenizer cuts: ASCII digits, letters, and what can't join a letter or digit. Apostrophes (of
+#: contractions), signs that a combining mark may change and those of special tokens aren't among the last.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[48:58] = 1
+_KINDS[65:91] = _KINDS[97:123] = 2
+_KINDS[np.frombuffer(b"!\"#$%&()*+,-./:;?@[]^_`{}", np.uint8)] = 3
+
 INDEX = "shard int, file string, docs long, tokens long, frames long, bytes long"
 
 
 class Coder:
-    """Ids of texts by the tokenizers library. by_word: the tokenizer drops white space and reads no word in the light of another, so that each
-    distinct word is encoded once."""
+    """Ids of texts by the tokenizers library. by_word: the tokenizer drops white space, reads digits one by one and letters apart from other
+    signs, and none of these in the light of another, so that each distinct run is encoded once."""
 
     def __init__(self, path: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,22 +73,39 @@ class Coder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab() if by_word and suffix else {}
+        self.ends_word = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def _lists(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Adds the ids of words to the cache."""
+        plain = [w for w in new if w.isalpha()]
+        # Words of ASCII letters are single pieces, so they can be encoded many at once and told apart by the ids that end a word.
+        lines = [b" ".join(plain[k : k + LINE]).decode() for k in range(0, len(plain), LINE)]
+        ids = np.array([i for part in self._lists(lines) for i in part], "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1 if self.ends_word.any() else ids[:0]
+        if len(ends) == len(plain):
+            raw = ids.tobytes()
+            for w, a, b in zip(plain, [0, *ends.tolist()], ends.tolist(), strict=False):
+                self.cache[w] = raw[4 * a : 4 * b]
+            new = [w for w in new if not w.isalpha()]
+        for w, ids in zip(new, self._lists([w.decode() for w in new]), strict=True):
+            self.cache[w] = np.array(ids, "<u4").tobytes()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (large strings without nulls) one after another, and how many each text has."""
         if not self.by_word:
             lists = self._lists(texts.to_pylist())
             return np.array([i for ids in lists for i in ids], "<u4"), np.array([len(x) for x in lists], np.int64)
-        coded = words.coded(texts, words.NO_SPACE)
+        coded = words.coded(texts, words.NO_SPACE, kinds=_KINDS)
         distinct = coded.distinct.to_pylist()
         if len(self.cache) > CACHE:
             self.cache.clear()
-        new = [w for w in distinct if w not in self.cache]
-        for w, ids in zip(new, self._lists([w.decode() for w in new]), strict=True):
-            self.cache[w] = np.array(ids, "<u4").tobytes()
+        self._learn([w for w in distinct if w not in self.cache])
         found = [self.cache[w] for w in distinct]
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
@@ -251,6 +279,10 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
     return listed.mapInArrow(lambda batches: _frames(batches, folder), FRAMES)
 
 
+def _total(spark: SparkSession, folder: str) -> int:
+    return spark.read.parquet(f"{folder}/index").agg(F.sum("tokens")).first()[0] or 0
+
+
 def _read(batches: Iterator[pa.RecordBatch], folder: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     system, base = file_system(folder)
     for batch in batches:
@@ -277,5 +309,7 @@ def read_tokens(spark: SparkSession, folder: str, ids: list[int] | None = None,
         wanted = spark.createDataFrame([(i,) for i in ids], "_wanted long")
         found = found.join(F.broadcast(wanted), F.col("_wanted").between(F.col("first"), F.col("last")), "left_semi")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    out = found.repartition("file", "frame").mapInArrow(lambda batches: _read(batches, folder, with_ids), T._parse_datatype_string(schema))
+    # A row is small and its frame large, so their number, not the rows' bytes, says over how many tasks they are dealt.
+    tasks = max(spark.sparkContext.defaultParallelism, _total(spark, folder) // TASK)
+    out = found.repartition(tasks, "file", "frame").mapInArrow(lambda batches: _read(batches, folder, with_ids), T._parse_datatype_string(schema))
     return out if ids is None else out.join(F.broadcast(wanted), F.col("doc_id") == F.col("_wanted"), "left_semi")

@@ -27,9 +27,10 @@ class Coded:
     first: np.ndarray
 
 
-def coded(column: pa.Array, member: np.ndarray, lower: bool = False) -> Coded:
+def coded(column: pa.Array, member: np.ndarray, lower: bool = False, kinds: np.ndarray | None = None) -> Coded:
     """Words of a large string array without nulls: the longest runs of bytes in ``member``, a table over bytes that must hold all bytes
-    from 128 or none. lower: A-Z count as a-z."""
+    from 128 or none. lower: A-Z count as a-z. kinds: a table over bytes; words are cut between bytes of different kinds over 0, and between
+    two of kind 1."""
     data, offsets = text.utf8(column)
     data = _LOWER[data] if lower else data
     inside = member[data]
@@ -37,6 +38,9 @@ def coded(column: pa.Array, member: np.ndarray, lower: bool = False) -> Coded:
     begins[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
     begins[heads] = inside[heads]
+    if kinds is not None:
+        kind = kinds[data]
+        begins[1:] |= (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 1)) & inside[1:]
     start = np.flatnonzero(begins)
     # Without the bytes between, a word ends where the next begins.
     place = np.cumsum(inside)
