@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raterlake.functions import arrays
+from raterlake.operators.state import stored
 
 TARGETS = ("rating", "colored", "preference", "label")
 
@@ -44,24 +45,24 @@ def half_step(cells: DataFrame, fixed: DataFrame, key: str, other: str, rank: in
 
     @F.pandas_udf("array<double>")
     def solve(gram: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for g, b in zip(gram, right, strict=True):
-            a = np.zeros((rank, rank))
-            for (i, j), x in zip(pairs, g, strict=True):
-                a[i, j] = a[j, i] = x
-            out.append(np.linalg.solve(a + reg * np.eye(rank), np.asarray(b, float)))
-        return pd.Series(out)
+        if not len(gram):
+            return pd.Series([], dtype=object)
+        sums_, a = np.stack(gram.to_list()), np.zeros((len(gram), rank, rank))
+        for k, (i, j) in enumerate(pairs):
+            a[:, i, j] = a[:, j, i] = sums_[:, k]
+        return pd.Series(list(np.linalg.solve(a + reg * np.eye(rank), np.stack(right.to_list())[:, :, None])[:, :, 0]))
 
     return sums.select(key, solve("gram", "right").alias("f"))
 
 
 def als(cells: DataFrame, rank: int = 4, iterations: int = 3, reg: float = 0.1, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """User and item factors (user_id, f) and (item_id, f) of cells with user_id, item_id, target, weight."""
+    """User and item factors (user_id, f) and (item_id, f) of cells with user_id, item_id, target, weight. Each half-step's factors are written out, so
+    the plan doesn't grow."""
     users = initial(cells, "user_id", rank, seed)
     items = initial(cells, "item_id", rank, seed + 1)
     for _ in range(iterations):
-        items = half_step(cells, users, "item_id", "user_id", rank, reg)
-        users = half_step(cells, items, "user_id", "item_id", rank, reg)
+        items = stored(half_step(cells, users, "item_id", "user_id", rank, reg))
+        users = stored(half_step(cells, items, "user_id", "item_id", rank, reg))
     return users, items
 
 
