@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raterlake.functions import arrays, scalar
+from raterlake.operators import topk
 
 
 def cosine(ratings: DataFrame, of: str = "user_id", over: str = "item_id", value: str = "prediction", epsilon: float = 1e-9) -> DataFrame:
@@ -39,7 +40,6 @@ def predict_topk(ratings: DataFrame, similarity: DataFrame, k: int = 3, debiased
     near = similarity.withColumn("_k", rank).filter(F.col("_k") <= k).select("a", "b", "similarity")
     means = ratings.groupBy("user_id").agg(F.avg("prediction").alias("mean"))
     others = ratings.join(F.broadcast(means), "user_id").select(F.col("user_id").alias("b"), "item_id", (F.col("prediction") - (F.col("mean") if debiased else 0.0)).alias("x"))
-    # The raters are few, the items many: the short list of neighbours is what is sent around, if it is small.
     mixed = others.join(near, "b").groupBy(F.col("a").alias("user_id"), "item_id").agg(F.try_divide(F.sum(F.col("similarity") * F.col("x")), F.sum(F.abs("similarity"))).alias("x"))
     out = mixed.join(means, "user_id")
     return out.select("user_id", "item_id", (F.col("x") + (F.col("mean") if debiased else 0.0)).alias("predicted"))
@@ -54,14 +54,10 @@ def predict_by_label_correlation(ratings: DataFrame) -> DataFrame:
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, vector: str) -> DataFrame:
-    """The k nearest points of each query by squared distance (smaller ids among equals), the query itself left out. Exact: each
-    query meets each point once, and only the k best of each task go on."""
-    q = queries.select(F.col(query_id).alias("query"), F.col(vector).alias("_q"))
-    p = points.select(F.col(point_id).alias("neighbor"), F.col(vector).alias("_p"))
-    pairs = p.join(q, F.col("query") != F.col("neighbor"))
-    d = pairs.select("query", "neighbor", F.round(arrays.squared_distance(F.col("_q"), F.col("_p")), 6).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor"))
-    return d.withColumn("rank", rank).filter(F.col("rank") <= k)
+    """The k nearest points of each query by squared distance (smaller ids among equals), the query itself left out. Exact: each block of queries
+    meets each block of points once, and only the k best of each go on."""
+    q, p = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("vector")), points.select(F.col(point_id).alias("id"), F.col(vector).alias("vector"))
+    return topk.best_pairs(q, p, k, "distance", not_itself=True).withColumnRenamed("value", "distance")
 
 
 def knn_labels(neighbors: DataFrame, labels: DataFrame) -> DataFrame:
