@@ -34,8 +34,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The query's SQL asks for more than 100 documents on a host of any size.
-    out = quality.judge(table(spark, sf_dir, "documents"), min_docs=100)
+    """The base statistics, and the verdict by frequent lines with the limits of the pipeline."""
+    out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "removed_words")
 
 
@@ -157,7 +157,7 @@ distinct_lines AS (
          len(list_filter(string_split(norm, ' '), lambda x: x <> '')) AS words FROM lines),
 hosts AS (SELECT coalesce(source, '') AS host, count(DISTINCT coalesce(text, '')) AS docs FROM documents GROUP BY 1),
 freq AS (SELECT host, norm, count(DISTINCT text) AS n FROM distinct_lines GROUP BY host, norm),
-over_limit AS (SELECT host, norm FROM freq JOIN hosts USING (host) WHERE n > 100 AND n > 0.05 * docs),
+over_limit AS (SELECT host, norm FROM freq JOIN hosts USING (host) WHERE n > 5 AND n > 0.05 * docs),
 line_sums AS (
   SELECT d.doc_id, sum(words) AS all_words, count(o.norm) AS n_removed_lines,
          coalesce(sum(words) FILTER (o.norm IS NOT NULL), 0) AS removed_words
