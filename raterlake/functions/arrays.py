@@ -82,3 +82,44 @@ def key_of(a: Column) -> Column:
 
 def quoted(a: Column, sep: str = ",") -> Column:
     return F.array_join(F.transform(a, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), sep)
+
+
+def longest_common_substring(a: Column, b: Column) -> Column:
+    """The longest run of characters that both strings hold, the one that ends first in a among equals; empty if there is none, null if a string is null.
+
+    A row of the usual table, the length of the common run that ends at each character of b, goes through a's characters in an aggregate.
+    """
+    row = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
+    start = F.struct(row.alias("row"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+
+    def step(s: Column, c: Column) -> Column:
+        # Place 0 stands before b.
+        new = F.transform(s["row"], lambda _, j: F.when((j > 0) & (b.substr(j, F.lit(1)) == c), F.get(s["row"], j - 1) + 1).otherwise(0))
+        at = s["at"] + 1
+
+        def longest(row: Column) -> Column:
+            best = F.array_max(row)
+            return F.struct(row.alias("row"), at.alias("at"), F.greatest(best, s["n"]).alias("n"), F.when(best > s["n"], at).otherwise(s["end"]).alias("end"))
+
+        # Through an array of one, so that the new row is computed once.
+        return F.transform(F.array(new), longest)[0]
+
+    characters = F.transform(F.filter(F.sequence(F.lit(0), F.length(a)), lambda i: i > 0), lambda i: a.substr(i, F.lit(1)))
+    found = F.transform(F.array(F.aggregate(characters, start, step)), lambda s: a.substr(s["end"] - s["n"] + 1, s["n"]))
+    return F.when(a.isNotNull() & b.isNotNull(), found[0])
+
+
+def combinations(a: Column, r: int) -> Column:
+    """All choices of r entries, in the order of places; one empty choice for r = 0."""
+    places = F.filter(F.sequence(F.lit(0), F.size(a)), lambda i: i > 0)
+    chosen = F.array(F.array().cast("array<int>"))
+    for _ in range(r):
+        after = lambda c: F.filter(places, lambda i: i > F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), c), -1), F.lit(0)))
+        chosen = F.flatten(F.transform(chosen, lambda c: F.transform(after(c), lambda i: F.concat(c, F.array(i)))))
+    return F.transform(chosen, lambda c: F.transform(c, lambda i: F.element_at(a, i)))
+
+
+def nested_entries(m: Column) -> Column:
+    """Entries (outer, inner, value) of a map of maps, by both keys."""
+    inner = lambda k, v: F.transform(F.map_entries(v), lambda e: F.struct(k.alias("outer"), e["key"].alias("inner"), e["value"].alias("value")))
+    return F.array_sort(F.flatten(F.transform(F.map_entries(m), lambda e: inner(e["key"], e["value"]))))

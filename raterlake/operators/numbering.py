@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from raterlake.operators.state import stored
+
 
 def numbered(rows: DataFrame, keys: list[str], by: list[str], name: str = "number", total: str | None = None, parts: int = 64) -> DataFrame:
     """rows with a number 0, 1, 2, ... within their keys, and total, the key's number of rows, if it is named.
@@ -21,3 +23,17 @@ def numbered(rows: DataFrame, keys: list[str], by: list[str], name: str = "numbe
     place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*by)) - 1
     out = dealt.withColumn("_place", place).join(sizes.drop("_n"), [*keys, "_part"])
     return out.withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """rows with their place 1, 2, ... in an order over all of them. They are dealt over ranges, sorted there and written out; the sizes of the ranges before are
+    the only thing that is brought together."""
+    ranged = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    # monotonically_increasing_id is the partition's number, shifted by 33 bits, plus the row's place in it.
+    part, before, sizes = F.shiftright("_at", 33).cast("int"), 0, []
+    for row in sorted(ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        sizes.append((row.part, before))
+        before += row.n
+    offsets = rows.sparkSession.createDataFrame(sizes, "_part int, _before long")
+    rank = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, rank).drop("_at", "_part", "_before")

@@ -561,4 +561,4 @@ def scalar_functions(spark, sf_dir):
 
 
 # These modules register their queries here when they are imported.
-from raterlake.plans import ensembles, factorization, filters, neighbors, polarity, reports  # noqa: E402, F401
+from raterlake.plans import ensembles, factorization, filters, neighbors, polarity, reports, structure  # noqa: E402, F401
