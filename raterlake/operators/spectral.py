@@ -7,7 +7,11 @@ round's rows are written out, so plans don't grow.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +42,35 @@ def _x(i: int) -> Column:
 
 def _turned(rows: DataFrame, name: str, matrix: np.ndarray) -> DataFrame:
     """a, x: each row of ``name`` times a small matrix."""
-    rows_, columns = matrix.shape
-    return rows.select("a", F.array(*(sum((F.get(name, F.lit(i)) * float(matrix[i, j]) for i in range(rows_)), F.lit(0.0)) for j in range(columns))).alias("x"))
+
+    @F.pandas_udf("array<double>")
+    def turn(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(x.to_list()) @ matrix) if len(x) else [], dtype=object)
+
+    return rows.select("a", turn(name).alias("x"))
+
+
+def _products(rows: DataFrame, one: str, other: str) -> np.ndarray:
+    """The sum of the outer products of two columns of vectors; each task gives its own sum."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("one", "other"))
+                total = total + x.T @ y
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["place", "total"])
+
+    parts = rows.select(F.col(one).alias("one"), F.col(other).alias("other")).mapInArrow(sums, "place long, total double")
+    # As many rows as the product has entries.
+    return np.array([r.total for r in parts.groupBy("place").agg(F.sum("total").alias("total")).orderBy("place").collect()])
 
 
 def _times(edges: DataFrame, rows: DataFrame, m: int) -> DataFrame:
-    """Half of the normalised affinity plus one, times x, so that no eigenvalue is below zero."""
-    sums = edges.join(rows.select(F.col("a").alias("b"), F.col("x").alias("_x")), "b").groupBy("a").agg(F.array(*(F.sum(F.col("w") * F.get("_x", F.lit(i))) for i in range(m))).alias("_s"))
-    return rows.join(sums, "a").select("a", F.zip_with("x", "_s", lambda x, y: (x + y) / 2).alias("x"))
+    """The matrix of the edges times x."""
+    beside = edges.join(rows.select(F.col("a").alias("b"), "x"), "b")
+    return beside.groupBy("a").agg(F.array(*(F.sum(F.col("w") * F.get("x", F.lit(i))) for i in range(m))).alias("x"))
 
 
 def eigenvectors(affinity: DataFrame, k: int, tolerance: float = 1e-2, most: int = 60, spare: int = 4, inner: int = 3, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
@@ -56,18 +81,19 @@ def eigenvectors(affinity: DataFrame, k: int, tolerance: float = 1e-2, most: int
     """
     edges = stored(normalised(affinity))
     nodes = edges.select("a").distinct()
+    # Half of the matrix plus one, so that no eigenvalue is below zero.
+    edges = stored(edges.select("a", "b", (F.col("w") / 2).alias("w")).unionByName(nodes.select("a", F.col("a").alias("b"), F.lit(0.5).alias("w"))))
+    nodes = edges.select("a").distinct()
     m = min(k + spare, nodes.count())
     h = lambda i: F.pmod(F.xxhash64(F.col("a"), F.lit(seed), F.lit(i)), F.lit(2001)) / 1000.0 - 1.0
     rows = stored(nodes.select("a", F.array(*(h(i) for i in range(m))).alias("x")))
-    product = lambda d, c, e: np.array(d.agg(*(F.sum(F.get(c, F.lit(i)) * F.get(e, F.lit(j))) for i in range(m) for j in range(m))).first(), float).reshape(m, m)
-    rows = _turned(rows, "x", np.linalg.inv(np.linalg.cholesky(product(rows, "x", "x"))).T)
+    rows = stored(_turned(rows, "x", np.linalg.inv(np.linalg.cholesky(_products(rows, "x", "x").reshape(m, m))).T))
     for turn in range(1, most + 1):
         moved = rows
         for _ in range(inner):
             moved = _times(edges, moved, m)
         both = stored(rows.join(moved.select("a", F.col("x").alias("y")), "a"))
-        held = both.select("a", F.concat("x", "y").alias("z"))
-        all_ = np.array(held.agg(*(F.sum(F.get("z", F.lit(i)) * F.get("z", F.lit(j))) for i in range(2 * m) for j in range(m, 2 * m))).first(), float).reshape(2 * m, m)
+        all_ = _products(both.select(F.concat("x", "y").alias("z"), "y"), "z", "y").reshape(2 * m, m)
         small, squares = (all_[:m] + all_[:m].T) / 2, all_[m:]
         values, turns = np.linalg.eigh(small)
         values, turns = values[::-1][:k], turns[:, ::-1][:, :k]
