@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from raterlake.operators import metrics
+
 
 def user_confidence(colors: DataFrame) -> DataFrame:
     """user_id with 1 - Brier, accuracy, and correlation with the labels (null for constant scores)."""
@@ -45,10 +47,11 @@ def balanced(cells: DataFrame, alpha: float = 10.0) -> DataFrame:
 
 
 def average_ranks(ratings: DataFrame, by: str = "user_id") -> DataFrame:
-    """The rank of each score, equal ones sharing the mean rank."""
-    low = F.rank().over(Window.partitionBy(by).orderBy("prediction"))
-    ties = F.count("*").over(Window.partitionBy(by, "prediction"))
-    return ratings.withColumn("average_rank", low + (ties - 1) / 2.0)
+    """The rank of each score among those of its rater (or item), equal ones sharing the mean rank; null scores have none. From running counts of distinct scores, so
+    no rater's scores are sorted in one task."""
+    counts = metrics.curve(ratings.select(by, "prediction", F.lit(0).alias("label")), [by])
+    rank = F.col("n_neg") - F.col("n_pred") + (F.col("n") + 1) / 2.0
+    return ratings.join(counts.select(by, F.col("threshold").alias("prediction"), rank.alias("average_rank")), [by, "prediction"], "left")
 
 
 def outlier_bounds(voted: DataFrame) -> DataFrame:

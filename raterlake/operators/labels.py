@@ -66,11 +66,11 @@ def mask_color(colors: DataFrame, masked: list[int], marker: float = 0.0) -> Dat
 
 
 def extreme_cells(ratings: DataFrame, k: int, by: str = "user_id") -> DataFrame:
-    """Adds extreme: 1 for the k highest and k lowest scores of each user (or item)."""
+    """Adds extreme: 1 for the k highest and k lowest scores of each user (or item). Each task passes on its own k on both sides only."""
     other = "item_id" if by == "user_id" else "user_id"
-    high = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("prediction"), other))
-    low = F.row_number().over(Window.partitionBy(by).orderBy("prediction", other))
-    return ratings.withColumn("extreme", ((high <= k) | (low <= k)).cast("int"))
+    best = lambda order: ratings.select("user_id", "item_id", F.row_number().over(Window.partitionBy(by).orderBy(order, other)).alias("_k")).filter(F.col("_k") <= k)
+    found = best(F.desc("prediction")).union(best(F.asc("prediction"))).select("user_id", "item_id").distinct().withColumn("extreme", F.lit(1))
+    return ratings.join(found, ["user_id", "item_id"], "left").na.fill(0, ["extreme"])
 
 
 def kept_correct_cells(colors: DataFrame, ratio_users: float = 0.5) -> DataFrame:

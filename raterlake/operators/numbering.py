@@ -21,8 +21,11 @@ def numbered(rows: DataFrame, keys: list[str], by: list[str], name: str = "numbe
     if total:
         sizes = sizes.withColumn(total, F.sum("_n").over(Window.partitionBy(*keys)))
     place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*by)) - 1
-    out = dealt.withColumn("_place", place).join(sizes.drop("_n"), [*keys, "_part"])
-    return out.withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+    # Rows whose key is null are numbered together.
+    sizes = sizes.drop("_n").withColumnsRenamed({k: f"_of_{k}" for k in (*keys, "_part")})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "_part")]
+    out = dealt.withColumn("_place", place).join(sizes, same)
+    return out.withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before", *(f"_of_{k}" for k in (*keys, "_part")))
 
 
 def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from raterlake.operators.numbering import ranked
+
 
 def to_long(wide: DataFrame, ids: list[str] | None = None) -> DataFrame:
     """Wide level-1 rows (id, label, one column for each rater) as ratings."""
@@ -28,12 +30,11 @@ def from_arrays(rows: DataFrame) -> DataFrame:
 
 
 def with_indices(ratings: DataFrame) -> DataFrame:
-    """Adds user_idx and item_idx, dense codes from 0 in the order of ids (a distributed sort, numbered in place)."""
+    """Adds user_idx and item_idx, dense codes from 0 in the order of ids (numbered over ranges)."""
 
     def codes(column: str, name: str) -> DataFrame:
-        ids = ratings.select(column).distinct().filter(F.col(column).isNotNull()).orderBy(column)
-        schema = f"{column} {ratings.schema[column].dataType.simpleString()}, {name} bigint"
-        return ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(schema)
+        ids = ratings.select(column).distinct().filter(F.col(column).isNotNull())
+        return ranked(ids, [F.asc(column)], name).withColumn(name, F.col(name) - 1)
 
     return ratings.join(codes("user_id", "user_idx"), "user_id").join(codes("item_id", "item_idx"), "item_id")
 

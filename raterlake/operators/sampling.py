@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from raterlake.operators import metrics
+from raterlake.operators.numbering import numbered, ranked
+
 
 def draw(seed: int, *keys: str) -> Column:
     """A number in [0, 1) for each key."""
@@ -13,9 +16,8 @@ def draw(seed: int, *keys: str) -> Column:
 
 def stratified_split(items: DataFrame, ratio: float = 0.2, seed: int = 7, key: str = "item_id", label: str = "label") -> DataFrame:
     """Adds split: test for the given share of each class, exactly to rounding."""
-    w = Window.partitionBy(label).orderBy(draw(seed, key), key)
-    n = F.count("*").over(Window.partitionBy(label))
-    return items.withColumn("split", F.when(F.row_number().over(w) <= F.round(n * ratio), "test").otherwise("train"))
+    rows = numbered(items.withColumn("_seed", F.lit(seed)), [label], ["_seed", key], "_k", "_of")
+    return rows.withColumn("split", F.when(F.col("_k") < F.round(F.col("_of") * ratio), "test").otherwise("train")).select(*items.columns, "split")
 
 
 def folds(items: DataFrame, n: int, key: str = "item_id") -> DataFrame:
@@ -23,7 +25,13 @@ def folds(items: DataFrame, n: int, key: str = "item_id") -> DataFrame:
 
 
 def near_equal_split(df: DataFrame, parts: int, order: str) -> DataFrame:
-    return df.withColumn("part", F.ntile(parts).over(Window.orderBy(order)))
+    """Adds part, 1 to parts: runs of the order whose sizes differ by one at most, the longer ones first."""
+    n = df.count()
+    size, longer = divmod(n, parts)
+    k = F.col("_rank") - 1
+    cut = longer * (size + 1)
+    part = F.when(k < cut, F.floor(k / (size + 1))).otherwise(longer + F.floor((k - cut) / max(size, 1))) + 1
+    return ranked(df, [F.asc(order)], "_rank").withColumn("part", part.cast("int")).select(*df.columns, "part")
 
 
 def bootstrap_means(df: DataFrame, value: str, key: str, repetitions: int = 200, seed: int = 7) -> DataFrame:
@@ -35,11 +43,13 @@ def bootstrap_means(df: DataFrame, value: str, key: str, repetitions: int = 200,
 
 
 def interval(df: DataFrame, keys: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """mean, spread, median, and the values at places int(low n) and int(high n) of the sorted ones."""
-    w = Window.partitionBy(*keys)
-    rows = df.select(*keys, value).withColumn("_k", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    at = lambda q: F.min(F.when(F.col("_k") == F.floor(F.col("_n") * q), F.col(value)))
-    return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev(value).alias("spread"), F.median(value).alias("median"), at(low).alias("low"), at(high).alias("high"))
+    """mean, spread, median, and the values at places int(low n) and int(high n) of the sorted ones, by running counts of distinct values (null ones are skipped)."""
+    counts = metrics.curve(df.select(*keys, F.col(value).alias("prediction"), F.lit(0).alias("label")), keys)
+    # Values up to this one; the first beyond a place stands at it.
+    upto = F.col("n_neg") - F.col("n_pred") + F.col("n")
+    at = lambda q: F.min(F.when(upto > F.floor(F.col("n_neg") * q), F.col("threshold")))
+    places = counts.groupBy(*keys).agg(at(low).alias("low"), at(high).alias("high"))
+    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev(value).alias("spread"), F.median(value).alias("median")).join(places, keys)
 
 
 def per_key_sample(df: DataFrame, key: str, id_col: str, n: int, seed: int = 7) -> DataFrame:
@@ -58,8 +68,8 @@ def class_sample(items: DataFrame, n: int, uniform: bool = False, key: str = "it
     sizes = items.groupBy(label).agg(F.count("*").alias("_n"))
     share = F.lit(n) / F.count("*").over(Window.partitionBy()) if uniform else F.lit(n) * F.col("_n") / F.sum("_n").over(Window.partitionBy())
     wanted = sizes.select(label, F.round(share).alias("_wanted"))
-    ranks = items.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy(draw(seed, key), key)))
-    return ranks.join(wanted, label).filter(F.col("_k") <= F.col("_wanted")).drop("_k", "_wanted")
+    ranks = numbered(items.withColumn("_seed", F.lit(seed)), [label], ["_seed", key], "_k")
+    return ranks.join(wanted, label).filter(F.col("_k") < F.col("_wanted")).select(*items.columns)
 
 
 def fold_and_dev(items: DataFrame, test_fold: int, folds: int, dev_ratio: float, key: str = "item_id", label: str = "label", seed: int = 7) -> DataFrame:
