@@ -398,17 +398,46 @@ def ranked_raters(spark, sf_dir):
     return selection.ranked_raters(W.ratings(spark, sf_dir))
 
 
-@query()
+def _fmax(source: str, keys: str) -> str:
+    """SQL of the largest F1 over thresholds."""
+    return f"""(SELECT {keys}, round(max(round(2.0::DOUBLE * tp / (n_pred + n_pos), 9)), 6) AS fmax FROM (
+  SELECT {keys}, sum(p) OVER w AS tp, sum(n) OVER w AS n_pred, sum(p) OVER (PARTITION BY {keys}) AS n_pos
+  FROM (SELECT {keys}, prediction AS threshold, count(*) AS n, sum(label) AS p FROM {source} GROUP BY ALL)
+  WINDOW w AS (PARTITION BY {keys} ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)) GROUP BY {keys})"""
+
+
+def _forward(steps: int) -> str:
+    """SQL of forward selection, each step from the one before."""
+    out, held = "", "(SELECT item_id, 0.0::DOUBLE AS s FROM ratings GROUP BY 1)"
+    for k in range(1, steps + 1):
+        taken = " AND ".join(["true", *(f"user_id <> (SELECT user_id FROM g{j})" for j in range(1, k))])
+        out += f""", t{k} AS (SELECT user_id, item_id, label, round((s + prediction) / {k}, 9) AS prediction FROM ratings JOIN {held} h USING (item_id) WHERE {taken}),
+g{k} AS (SELECT user_id, fmax FROM {_fmax(f't{k}', 'user_id')} ORDER BY fmax DESC, user_id LIMIT 1)"""
+        members = " OR ".join(f"user_id = (SELECT user_id FROM g{j})" for j in range(1, k + 1))
+        held = f"(SELECT item_id, sum(CASE WHEN {members} THEN prediction ELSE 0 END) AS s FROM ratings GROUP BY 1)"
+    return out + " " + " UNION ALL ".join(f"SELECT {k}::INT AS step, user_id, fmax FROM g{k}" for k in range(1, steps + 1))
+
+
+@query(
+    with_ctes(*_R)
+    + f""", a AS (SELECT user_id, label, rank() OVER (PARTITION BY user_id ORDER BY prediction) + (count(*) OVER (PARTITION BY user_id, prediction) - 1) / 2.0::DOUBLE AS r FROM ratings),
+b AS (SELECT user_id, (sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label) * (count(*) - sum(label))) AS auc FROM a GROUP BY user_id),
+k AS (SELECT user_id, row_number() OVER (ORDER BY round(auc, 6) DESC, user_id) AS rank FROM b),
+m AS (SELECT s.range::INT AS size, item_id, max(label) AS label, round(avg(prediction), 9) AS prediction FROM ratings JOIN k USING (user_id) JOIN range(1, 9) s ON rank <= s.range GROUP BY ALL),
+c AS (SELECT size, label, rank() OVER (PARTITION BY size ORDER BY prediction) + (count(*) OVER (PARTITION BY size, prediction) - 1) / 2.0::DOUBLE AS r FROM m),
+d AS (SELECT size, round((sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label) * (count(*) - sum(label))), 6) AS auc FROM c GROUP BY size)
+SELECT size, auc, fmax FROM d JOIN {_fmax("m", "size")} USING (size)"""
+)
 def greedy_prefixes(spark, sf_dir):
     return selection.greedy_prefixes(W.ratings(spark, sf_dir))
 
 
-@query()
+@query(with_ctes(*_R) + _forward(4))
 def greedy_forward(spark, sf_dir):
     return selection.greedy_forward(W.ratings(spark, sf_dir))
 
 
-@query()
+@query(with_ctes(*_R) + f" SELECT fold, min_by(user_id, (-fmax, user_id)) AS user_id, max(fmax) AS fmax FROM {_fmax('ratings', 'fold, user_id')} GROUP BY fold")
 def best_rater_per_fold(spark, sf_dir):
     return selection.best_rater_per_fold(W.ratings(spark, sf_dir))
 
@@ -479,7 +508,8 @@ def score_intervals(spark, sf_dir):
     return sampling.interval(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
-@query()
+@query("""WITH c AS (SELECT quality AS label, count(*) AS n, round(count(*) * 0.2::DOUBLE)::BIGINT AS t FROM labels GROUP BY 1),
+s AS (SELECT label, 'test' AS split, t AS n FROM c UNION ALL SELECT label, 'train', n - t FROM c) SELECT * FROM s WHERE n > 0""")
 def stratified_counts(spark, sf_dir):
     items = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("label"))
     return sampling.stratified_split(items).groupBy("label", "split").agg(F.count("*").alias("n"))
