@@ -591,4 +591,4 @@ def scalar_functions(spark, sf_dir):
 
 
 # These modules register their queries here when they are imported.
-from raterlake.plans import ensembles, estimation, factorization, filters, growth, neighbors, polarity, reports, structure  # noqa: E402, F401
+from raterlake.plans import draws, ensembles, estimation, factorization, filters, growth, neighbors, polarity, reports, structure  # noqa: E402, F401
