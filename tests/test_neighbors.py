@@ -115,3 +115,51 @@ def test_clusters_of_raters(spark):
     cells = [(u, i, float(np.clip(base[i] + rng.normal(0, 0.02), 0, 1)), 1) for u, base in {"a": one, "b": one, "c": two, "d": two}.items() for i in range(60)]
     got = {r.user_id: r.cluster for r in cluster_stacking.rater_clusters(spark.createDataFrame(cells, "user_id string, item_id long, prediction double, label int"), 2).collect()}
     assert got["a"] == got["b"] != got["c"] == got["d"]
+
+
+@pytest.mark.parametrize("by", ["product", "distance"])
+def test_bounds_lose_no_point(monkeypatch, by):
+    """Many groups and chunks: copies, ties, single and double precision, ids that stand twice."""
+    monkeypatch.setattr(topk, "GROUP", 5)
+    monkeypatch.setattr(topk, "CHUNK", 7)
+    rng = np.random.default_rng(3)
+    for turn, scale in enumerate((1e-4, 0.1, 1.0, 300.0)):
+        p = rng.integers(-2, 3, (90, 3)) * scale / 4 if turn % 2 else rng.normal(0, scale, (90, 3))
+        q, ids = p[rng.integers(0, 90, 40)], rng.permutation(90) // (1 + turn % 2)
+        for not_itself in (False, True):
+            rows, at, _ = topk.block_best(q, np.arange(40), p, ids, 4, by, not_itself)
+            for i, a in enumerate(q):
+                score = [(round(float(-(a * b).sum() if by == "product" else ((a - b) ** 2).sum()), 6) + 0.0, int(j)) for j, b in zip(ids, p, strict=True) if not (not_itself and i == j)]
+                assert [int(j) for j in ids[at[rows == i]]] == [j for _, j in sorted(score)[:4]]
+
+
+def test_few_products_where_vectors_have_few_dimensions(monkeypatch):
+    """What is multiplied grows less than the points."""
+    counted, product = [], np.matmul
+
+    def matmul(a, b, **more):
+        counted.append(a.shape[0] * b.shape[1])
+        return product(a, b, **more)
+
+    monkeypatch.setattr(np, "matmul", matmul)
+    rng = np.random.default_rng(4)
+    p, q = rng.normal(0, 1, (60_000, 3)), rng.normal(0, 1, (2000, 3))
+    topk.block_best(q, np.arange(2000), p, np.arange(60_000), 3, "product", False)
+    assert sum(counted) < 2000 * 60_000 / 5
+
+
+def test_vectors_that_are_not_finite(spark):
+    rows = frame(spark, range(4), [[1.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [0.5, 0.5]])
+    got = topk.best_pairs(rows, rows, 1, "product").collect()
+    assert sorted((r.query, r.neighbor) for r in got) == [(0, 0), (3, 0)]
+
+
+def test_parts_are_recommended_by_blocks(spark):
+    """Five parts for each customer, those with the largest products."""
+    from raterlake.plans import queries
+
+    made = queries.QUERIES["recommended_parts"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    got = made.toPandas()
+    assert set(got.groupby("user").size()) == {5} and not got.duplicated(["user", "item"]).any()
