@@ -95,9 +95,13 @@ def cg_half_step(cells: DataFrame, fixed: DataFrame, start: DataFrame | None, ke
     zeros = F.array(*(F.lit(0.0) for _ in range(rank)))
     beside = cells.select(key, other, "w", "q").join(fixed.select(other, "f"), other)
     product = lambda v: F.array(*(F.sum(F.col("w") * arrays.dot(F.col("f"), v) * f(i)) for i in range(rank)))
-    begun = cells.select(key).distinct() if start is None else cells.select(key).distinct().join(start.select(key, F.col("f").alias("_x")), key, "left")
-    begun = begun.withColumn("_x", zeros if start is None else F.coalesce("_x", zeros))
-    sums = beside.join(begun, key).groupBy(key, "_x").agg(product(F.col("_x")).alias("_ax"), F.array(*(F.sum(F.col("q") * f(i)) for i in range(rank))).alias("_b"))
+    right = F.array(*(F.sum(F.col("q") * f(i)) for i in range(rank))).alias("_b")
+    if start is None:
+        # From zero no cell meets its own id's factors.
+        sums = beside.groupBy(key).agg(right).withColumns({"_x": zeros, "_ax": zeros})
+    else:
+        begun = cells.select(key).distinct().join(start.select(key, F.col("f").alias("_x")), key, "left").withColumn("_x", F.coalesce("_x", zeros))
+        sums = beside.join(begun, key).groupBy(key, "_x").agg(product(F.col("_x")).alias("_ax"), right)
     r = _plus(_plus(F.col("_b"), F.col("_ax"), -1.0), _times(matrix, reg, F.col("_x"), rank), -1.0)
     state = sums.select(key, F.col("_x").alias("x"), r.alias("r"))
     state = stored(state.select(key, "x", "r", F.col("r").alias("p"), arrays.dot(F.col("r"), F.col("r")).alias("rr")))

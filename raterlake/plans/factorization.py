@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from raterlake.operators import factorize, sgd
+from raterlake.operators.state import stored
 from raterlake.plans import workload as W
 from raterlake.plans.queries import _R, query
 from raterlake.plans.workload import with_ctes
@@ -43,8 +44,8 @@ SELECT user_id, round(alpha * ra, 6) AS f0, round(alpha * rb, 6) AS f1 FROM s"""
 )
 def counted_gradient_step(spark, sf_dir):
     """Customers' factors after one step of conjugate gradients from zero, from how much they ordered of parts; parts not ordered count too."""
-    cells = W.purchases(spark, sf_dir).select(F.col("user").alias("user_id"), F.col("item").alias("item_id"), "n")
-    fixed = _formula(cells, "item_id")
+    cells = stored(W.purchases(spark, sf_dir).select(F.col("user").alias("user_id"), F.col("item").alias("item_id"), "n"))
+    fixed = stored(_formula(cells, "item_id"))
     made = factorize.cg_half_step(factorize.counted_cells(cells, 2.0), fixed, None, "user_id", "item_id", 2, 0.1, 1, factorize.gram(fixed, 2))
     return _flat(made, "user_id")
 
