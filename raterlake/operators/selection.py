@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from raterlake.functions import scalar
 from raterlake.operators import combine, metrics
+from raterlake.operators.state import stored
 
 
 def ranked_raters(ratings: DataFrame, metric: str = "fmax") -> DataFrame:
@@ -50,9 +51,10 @@ def greedy_prefixes(ratings: DataFrame, metric: str = "auc", most: int = 8) -> D
 def greedy_forward(ratings: DataFrame, steps: int = 4) -> DataFrame:
     """Forward selection: each step adds the rater whose inclusion gives the best F-max of the mean. step, user_id, fmax.
 
-    Each step is one aggregate over candidates x items; what comes to the driver is one rater's name.
+    Each step is one aggregate over candidates x items; what comes to the driver is one rater's name. Ratings and sums are written out, so that no step makes them again.
     """
     chosen: list[tuple[int, str, float]] = []
+    ratings = stored(ratings.select("user_id", "item_id", "prediction", "label"))
     sums = ratings.select("item_id", "label").distinct().withColumn("_s", F.lit(0.0))
     rest = ratings
     for step in range(1, steps + 1):
@@ -62,7 +64,8 @@ def greedy_forward(ratings: DataFrame, steps: int = 4) -> DataFrame:
             break
         chosen.append((step, best["user_id"], best["fmax"]))
         taken = rest.filter(F.col("user_id") == best["user_id"]).select("item_id", F.col("prediction").alias("_p"))
-        sums = sums.join(taken, "item_id", "left").withColumn("_s", F.col("_s") + F.coalesce("_p", F.lit(0.0))).drop("_p")
+        if step < steps:
+            sums = stored(sums.join(taken, "item_id", "left").withColumn("_s", F.col("_s") + F.coalesce("_p", F.lit(0.0))).drop("_p"))
         rest = rest.filter(F.col("user_id") != best["user_id"])
     return ratings.sparkSession.createDataFrame(chosen, "step int, user_id string, fmax double")
 
