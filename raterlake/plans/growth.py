@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from raterlake.operators import growth
+from raterlake.operators.state import stored
 from raterlake.plans import workload as W
 from raterlake.plans.ensembles import _auc
 from raterlake.plans.queries import _R, query
@@ -63,7 +64,7 @@ SELECT policy, model, step, user_id, score, diversity FROM g JOIN scores USING (
 )
 def grown_ensembles(spark, sf_dir):
     """Members by three policies in their order, with the score and the likeness of the ensemble up to each."""
-    r = W.ratings(spark, sf_dir)
+    r = stored(W.ratings(spark, sf_dir))
     each = [growth.growth_curve(r, growth.grown(r, p, _INITIAL, _SIZE, least=3)).withColumn("policy", F.lit(p)) for p in _GROWN]
     return reduce(lambda a, b: a.unionByName(b), each)
 
@@ -79,5 +80,5 @@ JOIN best b ON b.model = r.fold AND f.step <= b.size GROUP BY ALL""",
 )
 def grown_ensemble_scores(spark, sf_dir):
     """Each fold's items by the mean of the members chosen on the other folds."""
-    r = W.ratings(spark, sf_dir)
+    r = stored(W.ratings(spark, sf_dir))
     return growth.held_out_scores(r, growth.grown(r, "forward", _INITIAL, _SIZE))
