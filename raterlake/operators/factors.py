@@ -56,8 +56,9 @@ def half_step(cells: DataFrame, fixed: DataFrame, key: str, other: str, rank: in
 
 
 def als(cells: DataFrame, rank: int = 4, iterations: int = 3, reg: float = 0.1, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """User and item factors (user_id, f) and (item_id, f) of cells with user_id, item_id, target, weight. Each half-step's factors are written out, so
-    the plan doesn't grow."""
+    """User and item factors (user_id, f) and (item_id, f) of cells with user_id, item_id, target, weight. Cells and each half-step's factors are written out, so
+    the plan doesn't grow and no half-step makes the cells again."""
+    cells = stored(cells)
     users = initial(cells, "user_id", rank, seed)
     items = initial(cells, "item_id", rank, seed + 1)
     for _ in range(iterations):
