@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from raterlake.operators import factors, polarity, reshape, sequences
+from raterlake.operators.state import stored
 from raterlake.plans import workload as W
 from raterlake.plans.queries import _C, query
 from raterlake.plans.workload import with_ctes
 
 
 def _split(spark, sf_dir):
-    cells = W.colored(spark, sf_dir)
+    cells = stored(W.colored(spark, sf_dir))
     return cells.filter("fold = 0").select("user_id", "item_id", "prediction", "vote"), cells.filter("fold <> 0")
 
 
