@@ -163,3 +163,27 @@ def test_parts_are_recommended_by_blocks(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     got = made.toPandas()
     assert set(got.groupby("user").size()) == {5} and not got.duplicated(["user", "item"]).any()
+
+
+def test_each_pair_of_blocks_has_a_task(spark):
+    """Pairs are dealt by their number; by hashed keys several met in one task, and small partitions were put together."""
+    rng = np.random.default_rng(5)
+    rows = frame(spark, range(50), rng.normal(0, 1, (50, 4)))
+    plan = topk.best_pairs(rows, rows, 2, "distance", True, 10)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 25)" in plan
+
+
+@pytest.mark.parametrize("by", ["product", "distance"])
+def test_vectors_without_structure(monkeypatch, by):
+    """Bounds leave nothing out, so points are multiplied in their own order, and each counts once."""
+    monkeypatch.setattr(topk, "GROUP", 16)
+    monkeypatch.setattr(topk, "CHUNK", 27)
+    kinds, compare = set(), np.less_equal
+    monkeypatch.setattr(np, "less_equal", lambda a, b, **more: (kinds.add((a.dtype, b.dtype)), compare(a, b, **more))[1])
+    rng = np.random.default_rng(6)
+    p = rng.normal(0, 0.12, (400, 40))
+    rows, at, values = topk.block_best(p[:50], np.arange(50), p, np.arange(400), 5, by, True)
+    want = brute(p[:50], p, 5, by, True)
+    assert all([int(j) for j in at[rows == i]] == [j for j, _ in want[i]] for i in range(50)) and len(at) == 250
+    # In the precision of the products.
+    assert kinds == {(np.dtype("float32"), np.dtype("float32"))}
