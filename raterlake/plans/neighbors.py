@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from raterlake.operators import cluster_stacking, topk
+from raterlake.operators import cluster_stacking, labels, metrics, topk
+from raterlake.operators.state import stored
 from raterlake.plans import workload as W
 from raterlake.plans.queries import _R, _V, query
 from raterlake.plans.workload import with_ctes
@@ -14,8 +15,13 @@ def _split(df):
     return df.filter("fold = 0"), df.filter("fold <> 0")
 
 
-def _similar(spark, sf_dir):
-    return topk.cross_similarity(*_split(W.ratings(spark, sf_dir)), W.USERS, 3)
+def _ratings(spark, sf_dir):
+    """Ratings made once: each use of them reads all texts otherwise."""
+    return stored(W.ratings(spark, sf_dir))
+
+
+def _similar(ratings):
+    return topk.cross_similarity(*_split(ratings), W.USERS, 3)
 
 
 _NEAR = """, c AS (SELECT item_id, user_id, fold, prediction, avg(prediction) OVER (PARTITION BY item_id) AS m FROM ratings),
@@ -32,23 +38,25 @@ def _mean(x: str) -> str:
 @query(with_ctes(*_R) + _NEAR + " SELECT item_id, neighbor, round(similarity, 6) AS similarity, rank FROM near")
 def cross_similarity(spark, sf_dir):
     """The three known items most like each new one."""
-    return _similar(spark, sf_dir)
+    return _similar(_ratings(spark, sf_dir))
 
 
 @query(with_ctes(*_R) + _NEAR + f", f AS (SELECT *, (neighbor % 7 + 1) / 8.0::DOUBLE AS f0, (neighbor % 5 + 1) / 6.0::DOUBLE AS f1 FROM near) SELECT item_id, round({_mean('f0')}, 6) AS f0, round({_mean('f1')}, 6) AS f1 FROM f GROUP BY item_id")
 def transferred_factors(spark, sf_dir):
     """Factors of new items; those of known ones are given by a formula of their ids."""
     part = lambda m: (F.col("item_id") % m + 1) / (m + 1.0)
-    known = _split(W.ratings(spark, sf_dir))[1].select("item_id").distinct().select("item_id", F.array(part(7), part(5)).alias("f"))
-    out = topk.transferred_factors(_similar(spark, sf_dir), known, 2)
+    ratings = _ratings(spark, sf_dir)
+    known = _split(ratings)[1].select("item_id").distinct().select("item_id", F.array(part(7), part(5)).alias("f"))
+    out = topk.transferred_factors(_similar(ratings), known, 2)
     return out.select("item_id", F.get("f", F.lit(0)).alias("f0"), F.get("f", F.lit(1)).alias("f1"))
 
 
 @query(with_ctes(*_V) + _NEAR + f", k AS (SELECT user_id, item_id AS neighbor, abs(prediction - p_th) AS sure FROM voted WHERE fold <> 0) SELECT user_id, item_id, round({_mean('sure')}, 6) AS sure FROM near JOIN k USING (neighbor) GROUP BY user_id, item_id")
 def transferred_confidence(spark, sf_dir):
     """How far each rater's scores of the similar known items lie from its threshold, carried over to new items."""
-    known = _split(W.voted(spark, sf_dir))[1].withColumn("sure", F.abs(F.col("prediction") - F.col("p_th")))
-    return topk.transferred_cells(_similar(spark, sf_dir), known, "sure")
+    ratings = _ratings(spark, sf_dir)
+    known = _split(labels.votes(ratings, metrics.thresholds(ratings, ["user_id"])))[1].withColumn("sure", F.abs(F.col("prediction") - F.col("p_th")))
+    return topk.transferred_cells(_similar(ratings), known, "sure")
 
 
 @query(
@@ -58,8 +66,8 @@ def transferred_confidence(spark, sf_dir):
 SELECT d.user_id, d.item_id, round(m.m + d, 6) AS predicted FROM d JOIN (SELECT item_id, avg(prediction) AS m FROM ratings GROUP BY 1) m USING (item_id)"""
 )
 def predicted_new_items(spark, sf_dir):
-    new, known = _split(W.ratings(spark, sf_dir))
-    return topk.predicted_new_items(new, known, topk.cross_similarity(new, known, W.USERS, 3))
+    ratings = _ratings(spark, sf_dir)
+    return topk.predicted_new_items(*_split(ratings), _similar(ratings))
 
 
 def _families(spark):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from raterlake.operators import factorize, selection
+from raterlake.operators import factorize, selection, topk
 from raterlake.plans import growth, queries
 from raterlake.plans import polarity as polarity_queries
 from raterlake.plans import workload as W
@@ -55,3 +55,10 @@ def test_gradients_from_zero(spark, monkeypatch):
     zero = cells.select("user_id").distinct().withColumn("f", F.array(F.lit(0.0), F.lit(0.0)))
     one, two = ({r.user_id: r.f for r in factorize.cg_half_step(cells, fixed, start, "user_id", "item_id", 2, 0.1, 2).collect()} for start in (None, zero))
     assert one.keys() == two.keys() and all(one[u] == pytest.approx(two[u]) for u in one)
+
+
+@pytest.mark.parametrize("name", ["cross_similarity", "transferred_factors", "transferred_confidence", "predicted_new_items"])
+def test_transfers_read_stored_ratings(spark, monkeypatch, name):
+    seen = recorded(monkeypatch, topk, "best_pairs")
+    made = queries.QUERIES[name](spark, SF)
+    assert len(seen) == 1 and "documents" not in sources(seen[0]) + sources(made)
