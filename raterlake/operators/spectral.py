@@ -22,7 +22,8 @@ from raterlake.operators.topk import best_pairs
 
 def neighbour_affinity(points: DataFrame, k: int) -> DataFrame:
     """a, b, affinity between points (id, vector) one of which is among the k nearest of the other: exp(-d^2 / (s_a s_b)), s the distance to the k-th neighbour."""
-    near = best_pairs(points, points, k, "distance", not_itself=True).select(F.col("query").alias("a"), F.col("neighbor").alias("b"), F.sqrt("value").alias("distance"), "rank")
+    # Quadratic to make and read several times below, so it is made once.
+    near = stored(best_pairs(points, points, k, "distance", not_itself=True).select(F.col("query").alias("a"), F.col("neighbor").alias("b"), F.sqrt("value").alias("distance"), "rank"))
     scale = near.filter(F.col("rank") == k).select("a", F.col("distance").alias("s"))
     both = near.select("a", "b", "distance").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).distinct()
     scaled = both.join(scale, "a").join(scale.select(F.col("a").alias("b"), F.col("s").alias("t")), "b")
@@ -79,7 +80,8 @@ def eigenvectors(affinity: DataFrame, k: int, tolerance: float = 1e-2, most: int
     ``spare`` vectors more speed up the convergence. A round multiplies ``inner`` times before the vectors are made orthonormal again, and solves the small problem
     within their span; it ends when no leading vector's image differs from its multiple by more than the tolerance, or after ``most`` rounds.
     """
-    edges = stored(normalised(affinity))
+    # Its degrees and both sides read it.
+    edges = stored(normalised(stored(affinity)))
     nodes = edges.select("a").distinct()
     # Half of the matrix plus one, so that no eigenvalue is below zero.
     edges = stored(edges.select("a", "b", (F.col("w") / 2).alias("w")).unionByName(nodes.select("a", F.col("a").alias("b"), F.lit(0.5).alias("w"))))

@@ -80,6 +80,21 @@ def test_affinity_of_neighbours(spark):
         assert got[i, j] == pytest.approx(np.exp(-far(i, j) / (scale[i] * scale[j])) if scale[i] * scale[j] else 1.0)
 
 
+def test_neighbours_are_made_once(spark, monkeypatch):
+    df, _, _ = points(spark, 30, 5)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    made = spectral.best_pairs
+    monkeypatch.setattr(spectral, "best_pairs", lambda *a, **b: (lambda near: near.mapInArrow(counted, near.schema))(made(*a, **b)))
+    assert spectral.normalised(spectral.neighbour_affinity(df.select("id", "vector"), 4)).count()
+    assert seen.value == 30 * 4
+
+
 def test_ranks_over_ranges(spark):
     rows = spark.range(3000).selectExpr("id", "id * 7919 % 101 as x").repartition(9)
     got = [r.id for r in sorted(ranked(rows, [F.desc("x"), F.asc("id")]).collect(), key=lambda r: r["rank"])]
