@@ -31,19 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raterlake.llm import text as words_of
-from raterlake.llm.shared import checkpoint, components, sorted_groups
+from raterlake.llm.shared import bitmap, checkpoint, components, in_bitmap, sorted_groups
 
 GROUPS = 256
 SKETCH = 1 << 18
 SLICES = 16
 BLOCK = 2048
 LEAF = 32
+#: Bytes of text whose words are found at a time: they take many times as much, and both sides of pairs are at work together.
+TEXT = 1 << 18
 #: Bits of the filter of texts that candidates need; a fixed size, and with more texts only a weaker filter.
 FILTER_BITS = 1 << 23
 
 
 def _shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    for a, b in words_of.blocks(column):
+    for a, b in words_of.blocks(column, TEXT):
         w = words_of.words(column.slice(a, b - a))
         for i in range(b - a):
             yield words_of.shingle_set(w.hash[w.of(i)], k)
@@ -53,7 +55,7 @@ def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
     counts = np.zeros(SKETCH, np.int64)
     for batch in batches:
         column = words_of.plain(batch.column(0))
-        for a, b in words_of.blocks(column):
+        for a, b in words_of.blocks(column, TEXT):
             w = words_of.words(column.slice(a, b - a))
             # Each shingle counts once a document, closely enough: repeats within one only move the order.
             counts += np.bincount((words_of.runs(w.hash, k) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
@@ -163,19 +165,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, k:
     fits = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
     near = checkpoint(pairs.join(one, "a").join(two, "b").filter(fits).mapInArrow(lambda b: _bounded(b, percent), "a bigint, b bigint, text_a bigint, text_b bigint"))
     # A bitmap of fixed size keeps texts that no pair needs out of the shuffle.
-    bit = lambda c: F.pmod(F.col(c), F.lit(FILTER_BITS))
-    needed = near.select(F.explode(F.array(bit("text_a"), bit("text_b"))).alias("_bit"))
-    parts = needed.groupBy(F.bitmap_bucket_number("_bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("bits")).collect()
-    bits = {p["k"]: bytes(p["bits"]) for p in parts}
-    bitmap = docs.sparkSession.sparkContext.broadcast(np.unpackbits(np.frombuffer(b"".join(bits.get(i, bytes(4096)) for i in range(FILTER_BITS // 32768 + 2)), np.uint8), bitorder="little"))
+    needed = bitmap(near.select(F.explode(F.array("text_a", "text_b")).alias("key")), "key", FILTER_BITS)
+    needed = docs.sparkSession.sparkContext.broadcast(needed)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = bitmap.value
         for batch in batches:
-            # Buckets are numbered from 1, and positions from 0, for numbers above 0; 0 itself is in bucket 0.
-            place = np.mod(batch.column(0).to_numpy(), FILTER_BITS)
-            place = np.where(place > 0, place - 1 + 32768, 0)
-            yield batch.filter(pa.array(there[place] > 0))
+            yield batch.filter(pa.array(in_bitmap(needed.value, batch.column(0).to_numpy(), FILTER_BITS)))
 
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.xxhash64(body).alias("key"), body.alias("body")).mapInArrow(some, "key bigint, body string").dropDuplicates(["key"])
