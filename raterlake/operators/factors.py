@@ -16,6 +16,8 @@ from raterlake.functions import arrays
 from raterlake.operators.state import stored
 
 TARGETS = ("rating", "colored", "preference", "label")
+#: Ratings of a block in MLlib's ALS on average, and blocks at least (MLlib's own number).
+RATINGS, BLOCKS = 1 << 21, 10
 
 
 def targets(cells: DataFrame, policy: str = "rating") -> DataFrame:
@@ -98,10 +100,19 @@ def factor_cost(users: DataFrame, items: DataFrame, cells: DataFrame, reg: float
 
 
 def implicit(counts: DataFrame, rank: int = 8, alpha: float = 40.0, iterations: int = 5, seed: int = 7):
-    """MLlib's implicit ALS of (user, item, n); returns the model."""
+    """MLlib's implicit ALS of (user, item, n); returns the model.
+
+    A task of MLlib holds the ratings of a whole block of users or items several times over while it sorts them, and later the factors they refer to. So the number of blocks grows
+    with the ratings. These are written out, as MLlib reads them more than once, and dealt by users' blocks, as a task keeps a buffer for each pair of blocks it
+    meets. Each round ends with a checkpoint, after which its shuffles go. The first factors are drawn block by block, so they are others with another number of blocks.
+    """
     from pyspark.ml.recommendation import ALS
 
-    return ALS(rank=rank, maxIter=iterations, alpha=alpha, implicitPrefs=True, userCol="user", itemCol="item", ratingCol="n", seed=seed, coldStartStrategy="drop").fit(counts)
+    counts = stored(counts)
+    blocks = max(BLOCKS, -(-counts.count() // RATINGS))
+    dealt = counts.repartitionById(blocks, F.pmod("user", F.lit(blocks)).cast("int"))
+    als_ = ALS(rank=rank, maxIter=iterations, alpha=alpha, implicitPrefs=True, userCol="user", itemCol="item", ratingCol="n", seed=seed, coldStartStrategy="drop")
+    return als_.setNumBlocks(blocks).setCheckpointInterval(1).fit(dealt)
 
 
 def stack(train: DataFrame, test: DataFrame, users: list[str]):
